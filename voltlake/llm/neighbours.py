@@ -285,12 +285,13 @@ def _without_copies(data: DataFrame, fields: list[str], k: int, width: int, tota
     """(rows to search, pairs of the copies left out): at most HOT groups a field, each with k + 1 ids, reach the driver."""
     spark, left_out = data.sparkSession, []
     for f in fields:
-        usable = data.filter(F.size(f) == width).select("id", F.xxhash64(f).alias("h"), F.hash(f).alias("g"))
-        hot = usable.groupBy("h", "g").count().filter(F.col("count") > max(total / HOT, 4 * k))
+        wide = data.filter(F.size(f) == width).select("id", F.xxhash64(f).alias("h"), F.hash(f).alias("g"), f)
+        hot = wide.groupBy("h", "g").count().filter(F.col("count") > max(total / HOT, 4 * k))
         if not (groups := hot.collect()):
             continue
         small = F.broadcast(spark.createDataFrame([(r.h, r.g) for r in groups], "h bigint, g int"))  # at most HOT rows
-        own = usable.join(small, ["h", "g"]).distinct()
+        finite = F.forall(f, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(f, lambda x: x != 0)
+        own = wide.join(small, ["h", "g"]).filter(finite).select("id", "h", "g").distinct()
         head = own.withColumn("r", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).filter(F.col("r") <= k + 1)
         heads = head.groupBy("h", "g").agg(F.sort_array(F.collect_list("id")).alias("heads")).toArrow()  # at most HOT * (k + 1) ids
         heads = F.broadcast(spark.createDataFrame(heads.to_pandas(), "h bigint, g int, heads array<string>"))
