@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlake.llm import conversations, neighbours, splitting
+from voltlake.llm import conversations, defects, neighbours, overlap, splitting
 from voltlake.session import table
 
 
@@ -22,6 +22,18 @@ def p2_clock_offsets(spark: SparkSession, d: str) -> DataFrame:
     return conversations.clock_offsets(turns)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.chat_defects(table(spark, d, "llm_chat_table")).unionByName(defects.training_defects(table(spark, d, "training_sample")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "samples")).select("id_a", "id_b").distinct()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(table(spark, d, "samples"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.cut_kinds(splitting.split_texts(table(spark, d, "chunks")))
 
@@ -30,5 +42,5 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "chunks"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clock_offsets": p2_clock_offsets, "p5_found": p5_found, "p5_pieces": p5_pieces}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clock_offsets": p2_clock_offsets, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_pieces": p5_pieces}
 SQL: dict[str, str] = {}
