@@ -105,10 +105,17 @@ _ASKED = {
 _ASKS = re.compile(r"用|以|译|作答|回答|答复|回复|写|answer|reply|respond|write|translate|antwort|schreib|übersetz|répon|tradui|\bin\b|\bauf\b|\ben\b", re.I)
 
 
+_HAN = re.compile(r"[㐀-鿿]+")
+_WORDS = re.compile(r"[^\W\d_]{2,}")
+
+
 def language(text: str) -> str | None:
     """zh, en, de, fr, or None if there's too little to tell."""
-    han = len(re.findall(r"[㐀-鿿]", text))
-    words = re.findall(r"[^\W\d_]{2,}", re.sub(r"[㐀-鿿]+", " ", text))
+    han = sum(map(len, _HAN.findall(text)))
+    if han > 0.6 * len(text):
+        return "zh" if han >= 4 else None
+    rest = _HAN.sub(" ", text)
+    words = _WORDS.findall(rest)
     words = [w.lower() for w in words if not (w.isupper() and len(w) > 1)]
     if han >= 4 and han >= 1.5 * len(words):
         return "zh"
@@ -147,12 +154,16 @@ def common(a: str, b: str) -> int:
 
 
 def is_copy(question: str, answer: str) -> bool:
+    if len(answer) - answer.count(" ") > 3 * len(question) + 80:
+        return False
     q, a = letters(question), letters(answer)
     if len(q) < 6 or len(a) < 4 or len(a) > 2.4 * len(q) + 60:
         return False
     qs, grams = {q[i : i + 3] for i in range(len(q) - 2)}, [a[i : i + 3] for i in range(len(a) - 2)]
+    if len(qs.intersection(grams)) < 0.5 * len(qs):
+        return False
     shared = [g in qs for g in grams]
-    if sum(shared) < 0.5 * len(grams) or len(qs.intersection(grams)) < 0.5 * len(qs):
+    if sum(shared) < 0.5 * len(grams):
         return False
     filler = max(10, 0.25 * len(q)) if re.search(r"[㐀-鿿]", a) else max(24, 0.3 * len(q))
     if len(a) > len(q) + filler:  # the question more than once
@@ -187,7 +198,11 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-_TEMPLATE_TOKENS = [([x for x in _tokens(t) if x != "*"], "*" in t) for t in TEMPLATES]
+_TEMPLATE_TOKENS = [(t, "*" in line, set(t)) for line in TEMPLATES for t in [[x for x in _tokens(line) if x != "*"]]]
+
+
+_SENTENCE_END = re.compile(r"[。！!？?\n]+|\.(?=\s|$)|;\s+(?=feel)|，(?=请谅解)")
+_OPENING, _CLOSING = re.compile(OPENINGS, re.I), re.compile(CLOSINGS, re.I)
 
 
 def refuses(sentence: str) -> bool:
@@ -196,8 +211,8 @@ def refuses(sentence: str) -> bool:
         return False
     s = _tokens(sentence)
     have = set(s)
-    for t, slot in _TEMPLATE_TOKENS:
-        if len(have.intersection(t)) < 0.8 * len(set(t)) or len(s) > len(t) + (24 if slot else 4):
+    for t, slot, kinds in _TEMPLATE_TOKENS:
+        if len(kinds & have) < 0.8 * len(kinds) or len(s) > len(t) + (24 if slot else 4):
             continue
         if _lcs(t, s) >= 0.86 * len(t):
             return True
@@ -205,15 +220,15 @@ def refuses(sentence: str) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    text = answer.strip().strip("\"'“”「」*_>` ")
-    if len(text) > 400:
+    if len(answer) > 420:
         return False
+    text = answer.strip().strip("\"'“”「」*_>` ")
     found = False
-    for s in re.split(r"[。！!？?\n]+|\.(?=\s|$)|;\s+(?=feel)|，(?=请谅解)", text):
+    for s in _SENTENCE_END.split(text):
         s = s.strip(" \t　,，；;.*_\"'“”")
-        while (short := re.sub(OPENINGS, "", s, flags=re.I)) != s:
+        while (short := _OPENING.sub("", s)) != s:
             s = short
-        if not s or re.match(CLOSINGS, s, re.I):
+        if not s or _CLOSING.match(s):
             continue
         if not refuses(s):
             return False
@@ -237,9 +252,10 @@ def is_truncated(answer: str) -> bool:
         return False
     if t.count("```") % 2 or t.count("$$") % 2 or t.count("**") % 2 or t.count('"') % 2:
         return True
-    bare = re.sub(r"(?m)^[ \t]*\(?\d{1,2}[)）]|[:;]-?[)(]", "", t)
-    for o, c in _PAIRS:
-        if bare.count(o) > bare.count(c):
+    opened = [(o, c) for o, c in _PAIRS if t.count(o) > t.count(c) or (o in "(（" and o in t)]
+    if opened:
+        bare = re.sub(r"(?m)^[ \t]*\(?\d{1,2}[)）]|[:;]-?[)(]", "", t)
+        if any(bare.count(o) > bare.count(c) for o, c in opened):
             return True
     lines = t.splitlines()
     last = lines[-1].strip()
@@ -249,7 +265,7 @@ def is_truncated(answer: str) -> bool:
         return True
     if last.startswith("|") and (len(lines) < 2 or "|" not in lines[-2] or lines[-2].count("|") > last.count("|")):
         return True
-    for m in _ANNOUNCED.finditer(t):
+    for m in _ANNOUNCED.finditer(t) if "：" in t or ":" in t else ():
         w = (m[1] or m[2]).lower()
         n = _NUMBER.get(w) or (int(w) if w.isdigit() else 0)
         if not 2 <= n <= 20:
