@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlake.llm import conversations, defects, neighbours, overlap, splitting
+from voltlake.llm import conversations, defects, neighbours, overlap, personal, splitting
 from voltlake.session import table
 
 
@@ -42,5 +42,13 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "chunks"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clock_offsets": p2_clock_offsets, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_pieces": p5_pieces}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find(table(spark, d, "documents"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clock_offsets": p2_clock_offsets, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_redacted": p8_redacted}
 SQL: dict[str, str] = {}
