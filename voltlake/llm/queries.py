@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlake.llm import conversations, defects, neighbours, overlap, personal, splitting
+from voltlake.llm import conversations, defects, neighbours, overlap, packing, personal, splitting, tokens
 from voltlake.session import table
 
 
@@ -42,6 +42,14 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "chunks"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(tokens.sizes(table(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.find(table(spark, d, "documents"))
 
@@ -50,5 +58,5 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clock_offsets": p2_clock_offsets, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clock_offsets": p2_clock_offsets, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_redacted": p8_redacted}
 SQL: dict[str, str] = {}
