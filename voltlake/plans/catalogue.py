@@ -1,4 +1,9 @@
 """All queries of the core with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from voltlake.plans import quality, retrieval
+
+PARTS = (retrieval, quality)
+QUERIES = {k: f for p in PARTS for k, f in p.QUERIES.items()}
+SQL = {k: s for p in PARTS for k, s in p.SQL.items()}
