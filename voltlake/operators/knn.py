@@ -1,41 +1,46 @@
 """Exact nearest neighbours of a stated query set, in blocks.
 
-Queries and corpus are packed into blocks of vectors; each pair of blocks is one matrix product in a task, which passes on only the k best of
-each query. Unusable vectors (null, other width, not finite, all zero) take no part; ties go by id."""
+Queries and corpus are packed into blocks of about BLOCK vectors; each pair of blocks is one matrix product in a task, which passes on only
+the k best of each query. With a group column, blocks of a group meet only blocks of the same group. Unusable vectors
+(null, other width, not finite, all zero) take no part; ties go by id."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
 
 
-def exact_knn(queries: DataFrame, corpus: DataFrame, query_key: str, query_vector: str, corpus_key: str, corpus_vector: str, k: int, width: int = 64, blocks: int = 8) -> DataFrame:
-    """query_key, corpus_key (strings), cosine (rounded to 6), rank."""
-    q = _salted(queries, query_key, query_vector, width, blocks)
-    c = _salted(corpus, corpus_key, corpus_vector, width, blocks)
-    # every query block meets every corpus block once, by an equi-join on the corpus block's number
-    asked = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", F.col("rows").alias("queries"))
-    pairs = asked.join(c.select("block", F.col("rows").alias("members")), "block")
+def exact_knn(queries: DataFrame, corpus: DataFrame, query_key: str, query_vector: str, corpus_key: str, corpus_vector: str, k: int, width: int = 64, group: str | None = None) -> DataFrame:
+    """query_key, corpus_key (strings), cosine (rounded to 6), rank. With group, a column of both sides, only rows of equal group are compared."""
+    q, _ = _packed(queries, query_key, query_vector, width, group)
+    c, parts = _packed(corpus, corpus_key, corpus_vector, width, group)
+    # every query block meets every corpus block of its group once, by an equi-join on the corpus block's number
+    if group:
+        asked = q.join(parts, "g")
+    else:
+        asked = q.withColumn("parts", F.lit(parts))
+    asked = asked.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
+    pairs = asked.join(c.select("g", "slice", F.col("ids").alias("m_ids"), F.col("v").alias("m_v")), ["g", "slice"]).select("q_ids", "q_v", "m_ids", "m_v")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def matrix(rows):
-            ids = np.array([r["k"] for r in rows], object)
-            v = np.array([[np.nan if x is None else x for x in r["v"]] for r in rows], np.float64).reshape(-1, width)
-            n = np.sqrt((v * v).sum(1))
+        def matrix(ids, v):
+            names = np.array(ids.values.to_pylist(), object)
+            m = v.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            n = np.sqrt((m * m).sum(1))
             ok = np.isfinite(n) & (n > 0)
-            return ids[ok], v[ok] / n[ok][:, None]
+            return names[ok], m[ok] / n[ok][:, None]
 
-        for pdf in batches:
-            for qs, ms in zip(pdf.queries, pdf.members):
-                qi, qv = matrix(qs)
-                mi, mv = matrix(ms)
+        for b in batches:
+            for i in range(b.num_rows):
+                qi, qv = matrix(b.column(0)[i], b.column(1)[i])
+                mi, mv = matrix(b.column(2)[i], b.column(3)[i])
                 if not len(qi) or not len(mi):
                     continue
                 order = np.argsort(mi.astype(str), kind="stable")
@@ -44,14 +49,21 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, query_key: str, query_vecto
                     cos = np.round(qv[s : s + BLOCK] @ mv.T, 6)
                     best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
                     rows = np.repeat(np.arange(len(cos)), best.shape[1])
-                    yield pd.DataFrame({"q": qi[s + rows], "m": mi[best.ravel()], "cosine": cos[rows, best.ravel()]})
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[s + rows], pa.string()), pa.array(mi[best.ravel()], pa.string()), pa.array(cos[rows, best.ravel()])], names=["q", "m", "cosine"])
 
-    found = pairs.mapInPandas(run, "q string, m string, cosine double")
+    found = pairs.mapInArrow(run, "q string, m string, cosine double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "m"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("m").alias(corpus_key), "cosine", "rank")
 
 
-def _salted(df: DataFrame, key: str, vector: str, width: int, blocks: int) -> DataFrame:
-    rows = df.filter(F.col(key).isNotNull() & (F.size(vector) == width)).select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("k") / F.lit(blocks), F.lit(4096)).cast("int"))
-    return rows.groupBy("block", "slice").agg(F.collect_list(F.struct("k", "v")).alias("rows"))
+def _packed(df: DataFrame, key: str, vector: str, width: int, group: str | None):
+    """(g, slice, ids, v: the vectors one after the other), and the number of slices: a table by group, or a number."""
+    rows = df.filter(F.col(key).isNotNull() & (F.size(vector) == width)).select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(group) if group else F.lit(0)).alias("g"))
+    if group:
+        parts = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+        rows = rows.join(parts, "g")
+    else:
+        parts = max(1, -(-rows.count() // BLOCK))
+        rows = rows.withColumn("parts", F.lit(parts))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    return rows.groupBy("g", "slice").agg(F.collect_list("k").alias("ids"), F.flatten(F.collect_list("v")).alias("v")), parts

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from voltlake.plans import memory, quality, retrieval
+from voltlake.plans import etl, memory, quality, retrieval
 
-PARTS = (retrieval, quality, memory)
+PARTS = (retrieval, quality, memory, etl)
 QUERIES = {k: f for p in PARTS for k, f in p.QUERIES.items()}
 SQL = {k: s for p in PARTS for k, s in p.SQL.items()}

@@ -87,11 +87,11 @@ def _abstract_scores(spark: SparkSession, d: str) -> DataFrame:
     own = r.select("request_id", "user_id")
     of = a.select("id", F.col("user_id").alias("owner"))
     kw = kw.join(own, "request_id").join(of, "id").filter("user_id = owner").select("request_id", "id", "score")
-    v = table(spark, d, "memory_history").filter("memory_type = 'abstract' and query_vector is not null").select("id", "query_vector").distinct()
-    # all abstracts of all users are compared in blocks, then the owner's are kept
-    vec = exact_knn(request_vectors(spark, d), v, "request_id", "query_vector", "id", "query_vector", 1_000_000)
-    vec = vec.select(F.col("request_id").cast("bigint").alias("request_id"), "id", ((1 + F.col("cosine")) / 2).alias("score")).join(own, "request_id").join(of, "id").filter("user_id = owner").select("request_id", "id", "score")
-    return M.fused_search(lexical.top(kw, "id", 10), lexical.top(vec, "id", 10), "id")
+    v = table(spark, d, "memory_history").filter("memory_type = 'abstract' and query_vector is not null").select("id", "user_id", "query_vector").distinct()
+    # the filter on the user comes before the ranking: blocks of a user meet only blocks of the same user
+    vec = exact_knn(request_vectors(spark, d).join(own, "request_id"), v, "request_id", "query_vector", "id", "query_vector", 10, group="user_id")
+    vec = vec.select(F.col("request_id").cast("bigint").alias("request_id"), "id", ((1 + F.col("cosine")) / 2).alias("score"))
+    return M.fused_search(lexical.top(kw, "id", 10), vec, "id")
 
 
 def abstract_search(spark, d):
