@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from voltlake.functions.text import effective_length, greedy_concat, heading_level, stripped
 
@@ -111,7 +112,7 @@ def object_name(name: Column, limit: int = 240) -> Column:
     """Control signs off, separators full-width; over the byte limit a cut name with part of its digest."""
     clean = F.translate(F.regexp_replace(name, r"[\x00-\x1f\x7f]", ""), ":/\\", "：／＼")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cut(s: pd.Series) -> pd.Series:
         import hashlib
 
@@ -124,7 +125,7 @@ def object_name(name: Column, limit: int = 240) -> Column:
     return F.when(F.octet_length(clean) <= limit, clean).otherwise(cut(clean))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_json_object(text: pd.Series) -> pd.Series:
     """The first JSON object of a text, fence or words around it off; null if there is none."""
     import json
@@ -155,7 +156,7 @@ def greedy_json(text: Column) -> Column:
     return F.when((s != "") & F.try_parse_json(s).isNotNull(), s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_mojibake(text: pd.Series) -> pd.Series:
     """Runs of Latin-1 signs that read as GB18030 give Han signs are read so; all else stays."""
     import re

@@ -7,6 +7,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from voltlake.functions.text import han_count, parts, similarity_form, stripped
 
@@ -70,7 +71,7 @@ def refusal_consistency(answer: Column, sufficient: Column) -> Column:
     return F.when(t == "", -1.0).when(F.coalesce(sufficient, F.lit(False)), F.when(refuses, -1.0).otherwise(0.3)).otherwise(F.when(refuses, 1.0).otherwise(-1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the length of the matching blocks by the sum of the lengths."""
     from difflib import SequenceMatcher

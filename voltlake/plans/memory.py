@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.functions.text import session_name as name_of
+from voltlake.functions.text import stripped
 from voltlake.operators import graph as G
 from voltlake.operators import lexical
 from voltlake.operators import memory as M
@@ -194,7 +195,7 @@ def profile_fold(spark, d):
 def message_validation(spark, d):
     """FLT-15, 16: reasons to reject a queued message."""
     ok = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
-    why = F.concat_ws("|", F.when(F.coalesce(F.trim("task_id"), F.lit("")) == "", "task_id"), F.when(F.coalesce(F.trim("question"), F.lit("")) == "", "question"), F.when(~ok("user_id"), "user_id"), F.when(~ok("session_id"), "session_id"))
+    why = F.concat_ws("|", F.when(F.coalesce(F.trim("task_id"), F.lit("")) == "", "task_id"), F.when(stripped(F.coalesce("question", F.lit(""))) == "", "question"), F.when(~ok("user_id"), "user_id"), F.when(~ok("session_id"), "session_id"))
     return chats(spark, d).select("chat_id", why.alias("errors")).filter("errors <> ''")
 
 
@@ -253,6 +254,6 @@ SQL = {
     "stream_assemble": f"{_C} SELECT CAST(chat_id AS VARCHAR) AS task_id, length(answer) AS chars, md5(answer) AS digest, 'done' AS state FROM c WHERE done AND answer IS NOT NULL",
     "stream_retention": f"{_C}, n AS (SELECT CAST(chat_id AS VARCHAR) AS task_id, CAST(ceil(length(answer) / 40.0) AS INTEGER) AS k FROM c WHERE done AND answer IS NOT NULL), e AS (SELECT task_id, k, unnest(range(0, k + 2)) AS sequence FROM n) SELECT task_id, sequence, CASE WHEN sequence = 0 THEN 'start' WHEN sequence = k + 1 THEN 'done' ELSE 'delta' END AS event_type FROM e WHERE sequence > k - 4",
     "profile_fold": "WITH o AS (SELECT user_id, ts, event_id, event_type = 'error' AS del, CASE WHEN event_type = 'error' THEN 'click' ELSE event_type END AS field, props->>'$.k' AS value FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY user_id, field ORDER BY ts DESC, event_id DESC) AS r FROM o) SELECT user_id, field, value FROM l WHERE r = 1 AND NOT del",
-    "message_validation": f"{_C}, x AS (SELECT chat_id, concat_ws('|', CASE WHEN coalesce(trim(task_id), '') = '' THEN 'task_id' END, CASE WHEN coalesce(trim(question), '') = '' THEN 'question' END, CASE WHEN NOT coalesce(user_id > 0, false) THEN 'user_id' END, CASE WHEN NOT coalesce(session_id > 0, false) THEN 'session_id' END) AS errors FROM c) SELECT * FROM x WHERE errors <> ''",
+    "message_validation": rf"{_C}, x AS (SELECT chat_id, concat_ws('|', CASE WHEN coalesce(trim(task_id), '') = '' THEN 'task_id' END, CASE WHEN regexp_replace(coalesce(question, ''), '[ \t\r\n\x{{3000}}]+', '', 'g') = '' THEN 'question' END, CASE WHEN NOT coalesce(user_id > 0, false) THEN 'user_id' END, CASE WHEN NOT coalesce(session_id > 0, false) THEN 'session_id' END) AS errors FROM c) SELECT * FROM x WHERE errors <> ''",
     "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
 }

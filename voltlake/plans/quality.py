@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlake.functions.text import han_count, parts, similarity_form
+from voltlake.functions.text import han_count, parts, similarity_form, stripped
 from voltlake.operators import fusion
 from voltlake.operators import quality as Q
 from voltlake.plans.base import CHATS_SQL, chats, toks
@@ -17,7 +17,17 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "training_sample").groupBy("request_id").agg(*[F.max(c).alias(c) for c in ("query", "answer", "content_sufficient", "difficulty", "question_type")])
 
 
-A, QU, S = F.col("answer"), F.col("query"), F.col("content_sufficient")
+def _a():
+    return F.col("answer")
+
+
+def _q():
+    return F.col("query")
+
+
+def _s():
+    return F.col("content_sufficient")
+
 
 
 def _one(name, column):
@@ -28,41 +38,41 @@ def _one(name, column):
     return query
 
 
-basic_quality = _one("basic_quality", lambda: Q.basic_quality(A))
-meta_penalty = _one("meta_penalty", lambda: Q.meta_penalty(A))
-repetition_penalty = _one("repetition_penalty", lambda: Q.repetition_penalty(A))
-completion_reward = _one("completion_reward", lambda: Q.completion_reward(A))
-refusal_consistency = _one("refusal_consistency", lambda: Q.refusal_consistency(A, S))
-requirement_coverage = _one("requirement_coverage", lambda: Q.coverage(QU, A))
-form_quality = _one("form_quality", lambda: Q.form_quality(A, Q.requirement_counts(QU, A)[0]))
-copy_penalty = _one("copy_penalty", lambda: Q.query_copy_penalty(QU, A))
+basic_quality = _one("basic_quality", lambda: Q.basic_quality(_a()))
+meta_penalty = _one("meta_penalty", lambda: Q.meta_penalty(_a()))
+repetition_penalty = _one("repetition_penalty", lambda: Q.repetition_penalty(_a()))
+completion_reward = _one("completion_reward", lambda: Q.completion_reward(_a()))
+refusal_consistency = _one("refusal_consistency", lambda: Q.refusal_consistency(_a(), _s()))
+requirement_coverage = _one("requirement_coverage", lambda: Q.coverage(_q(), _a()))
+form_quality = _one("form_quality", lambda: Q.form_quality(_a(), Q.requirement_counts(_q(), _a())[0]))
+copy_penalty = _one("copy_penalty", lambda: Q.query_copy_penalty(_q(), _a()))
 
 
 def relevance():
-    return F.coalesce(fusion.jaccard(QU, A), F.lit(0.0))
+    return F.coalesce(fusion.jaccard(_q(), _a()), F.lit(0.0))
 
 
 def combined_reward(spark, d):
     """EVL-9 with the token scorer in place of the model, without the two copy rules that SQL cannot state."""
-    rewards = [Q.basic_quality(A), Q.meta_penalty(A), Q.repetition_penalty(A), Q.completion_reward(A), Q.refusal_consistency(A, S), relevance()]
+    rewards = [Q.basic_quality(_a()), Q.meta_penalty(_a()), Q.repetition_penalty(_a()), Q.completion_reward(_a()), Q.refusal_consistency(_a(), _s()), relevance()]
     return answers(spark, d).select("request_id", Q.combined(rewards).alias("score"))
 
 
 def training_reward(spark, d):
     """EVL-8, 10: all eight rules with their shares; contexts are the sample's own question side. Rows only."""
-    rewards = [Q.basic_quality(A), Q.meta_penalty(A), Q.repetition_penalty(A), Q.completion_reward(A), Q.refusal_consistency(A, S), relevance(), Q.query_copy_penalty(QU, A), F.least(Q.context_copy_penalty(QU, A), F.lit(0.0))]
+    rewards = [Q.basic_quality(_a()), Q.meta_penalty(_a()), Q.repetition_penalty(_a()), Q.completion_reward(_a()), Q.refusal_consistency(_a(), _s()), relevance(), Q.query_copy_penalty(_q(), _a()), F.least(Q.context_copy_penalty(_q(), _a()), F.lit(0.0))]
     return answers(spark, d).select("request_id", Q.weighted(rewards).alias("score"))
 
 
 def overall_quality(spark, d):
-    form = Q.form_quality(A, Q.requirement_counts(QU, A)[0])
-    out = answers(spark, d).select("request_id", Q.overall(relevance(), Q.coverage(QU, A), form).alias("score"))
+    form = Q.form_quality(_a(), Q.requirement_counts(_q(), _a())[0])
+    out = answers(spark, d).select("request_id", Q.overall(relevance(), Q.coverage(_q(), _a()), form).alias("score"))
     return out.withColumn("level", Q.level(F.col("score")))
 
 
 def diagnostics(spark, d):
     """EVL-13"""
-    a = F.coalesce(A, F.lit(""))
+    a = F.coalesce(_a(), F.lit(""))
     return answers(spark, d).select(
         "request_id", F.length(a).alias("chars"), han_count(a).alias("han"), F.size(parts(a, "[。！？!?；;\n]+")).alias("sentences"), Q.hits(a, Q.REFUSAL_SIGNALS).alias("signals")
     )
@@ -70,7 +80,7 @@ def diagnostics(spark, d):
 
 def similarity_forms(spark, d):
     """EVL-16"""
-    return answers(spark, d).select("request_id", similarity_form(F.coalesce(A, F.lit(""))).alias("form"))
+    return answers(spark, d).select("request_id", similarity_form(F.coalesce(_a(), F.lit(""))).alias("form"))
 
 
 def memory_need(spark, d):
@@ -129,7 +139,7 @@ def parsed_user(spark, d):
 
 def _gold(spark, d):
     """Expected: the label; predicted: no refusal phrase in the answer."""
-    return answers(spark, d).select("request_id", S.alias("expected"), (~Q.any_of(F.coalesce(A, F.lit("")), Q.REFUSAL_SIGNALS)).alias("predicted"))
+    return answers(spark, d).select("request_id", _s().alias("expected"), (~Q.any_of(F.coalesce(_a(), F.lit("")), Q.REFUSAL_SIGNALS)).alias("predicted"))
 
 
 def binary_metrics(spark, d):
@@ -150,7 +160,7 @@ def eval_summary(spark, d):
 
 def cited_sources(spark, d):
     """JOIN-5, SET-1: sources of each answer, stripped, each once, with their places."""
-    s = F.array_distinct(F.filter(F.transform("used_sources", F.trim), lambda x: x.isNotNull() & (x != "")))
+    s = F.array_distinct(F.filter(F.transform("used_sources", stripped), lambda x: x.isNotNull() & (x != "")))
     rows = table(spark, d, "training_sample").filter("used_sources is not null").select("request_id", F.posexplode(s).alias("pos", "source"))
     return rows.distinct()
 
@@ -217,5 +227,5 @@ SQL = {
     "binary_metrics": f"""WITH {_AN}, {_GOLD}, z AS (SELECT count(*) FILTER (coalesce(e, false) AND coalesce(p, false)) AS tp, count(*) FILTER (NOT coalesce(e, false) AND coalesce(p, false)) AS fp, count(*) FILTER (coalesce(e, false) AND NOT coalesce(p, false)) AS fn, count(*) FILTER (e = p) AS same, count(*) AS n FROM g),
  y AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS pr, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS rc FROM z) SELECT tp, fp, fn, round(coalesce(same / nullif(n, 0)::DOUBLE, 0), 6) AS accuracy, round(pr, 6) AS precision, round(rc, 6) AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) AS f1 FROM y""",
     "eval_summary": f"WITH {_AN}, {_GOLD} SELECT question_type, round(avg(CASE WHEN coalesce(e = p, false) THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS exact_match_rate, round(avg(CASE WHEN e IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS valid_rate, count(*) AS n FROM g GROUP BY 1",
-    "cited_sources": "WITH x AS (SELECT DISTINCT request_id, list_filter(list_transform(used_sources, lambda s: trim(s)), lambda s: s IS NOT NULL AND s <> '') AS l FROM training_sample WHERE used_sources IS NOT NULL), y AS (SELECT request_id, unnest(l) AS source, generate_subscripts(l, 1) AS i FROM x), z AS (SELECT request_id, source, min(i) AS i FROM y GROUP BY 1, 2) SELECT request_id, source, CAST(row_number() OVER (PARTITION BY request_id ORDER BY i) - 1 AS INTEGER) AS pos FROM z",
+    "cited_sources": r"WITH x AS (SELECT DISTINCT request_id, list_filter(list_transform(used_sources, lambda s: regexp_replace(s, '^[ \t\r\n\x{3000}]+|[ \t\r\n\x{3000}]+$', '', 'g')), lambda s: s IS NOT NULL AND s <> '') AS l FROM training_sample WHERE used_sources IS NOT NULL), y AS (SELECT request_id, unnest(l) AS source, generate_subscripts(l, 1) AS i FROM x), z AS (SELECT request_id, source, min(i) AS i FROM y GROUP BY 1, 2) SELECT request_id, source, CAST(row_number() OVER (PARTITION BY request_id ORDER BY i) - 1 AS INTEGER) AS pos FROM z",
 }
