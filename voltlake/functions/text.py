@@ -78,7 +78,7 @@ def heading_level(line: Column) -> Column:
         F.when(line.rlike(h + "第[一二三四五六七八九十百零]+章"), 1)
         .when(line.rlike(h + r"[0-9]+\.[0-9]+\.[0-9]+"), 3)
         .when(line.rlike(h + r"[0-9]+\.[0-9]+(?:[^0-9%．.]|$)"), 2)
-        .when(line.rlike(h + r"[0-9]+[.、]"), 1)
+        .when(line.rlike(h + r"[0-9]+[.、](?:[^0-9]|$)"), 1)
         .when(line.rlike(h + "[一二三四五六七八九十]+、"), 1)
         .when(line.rlike(h + "（[一二三四五六七八九十]+）"), 2)
     )

@@ -9,11 +9,15 @@ MOST = 10
 
 
 def reachable(edges: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
-    """node, left: nodes from which a target can be reached, and the least number of hops. Goes backwards from the targets."""
-    found = targets.select("node").distinct().withColumn("left", F.lit(0))
-    front = found
+    """node, left: nodes from which a target can be reached, and the least number of hops. Goes backwards from the targets, a cut front a hop."""
+    from voltlake.session import cut
+
+    found = front = cut(targets.select("node").distinct().withColumn("left", F.lit(0)))
     for h in range(1, hops + 1):
-        front = edges.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("left", F.lit(h))
+        step = edges.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+        front = cut(step.join(found.select("node"), "node", "left_anti").withColumn("left", F.lit(h)))
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found
 
@@ -22,24 +26,22 @@ def trails(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: int =
     """start, node, nodes, edge_ids: all directed trails of 1 to `hops` edges (edge_id, src, dst) from the start nodes to the targets.
 
     An edge may not repeat, a node may. Each step is an equi-join on the last node; trails that can no longer reach a target in the hops left
-    are dropped first. Lineage is cut every third step in the shared folder."""
+    are dropped first. Each step's lineage is cut in the shared folder, so no step is computed twice."""
     from voltlake.session import cut
 
-    near = cut(reachable(edges, targets, hops))
+    near = reachable(edges, targets, hops)
     now = starts.select(F.col("node").alias("start"), "node", F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edge_ids")).distinct()
     ends, out = targets.select("node").distinct(), None
     e = edges.select(F.col("edge_id").cast("string").alias("edge_id"), F.col("src").alias("node"), "dst").distinct()
     for h in range(1, hops + 1):
         step = now.join(e, "node").filter(~F.array_contains("edge_ids", F.col("edge_id")))
         step = step.select("start", F.col("dst").alias("node"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"))
-        now = step.join(near.filter(F.col("left") <= hops - h).select("node"), "node", "left_semi")
-        if h % 3 == 0:
-            now = cut(now)
-            if now.isEmpty():
-                break
+        now = cut(step.join(near.filter(F.col("left") <= hops - h).select("node"), "node", "left_semi"))
+        if now.isEmpty():
+            break
         hit = now.join(ends, "node", "left_semi")
         out = hit if out is None else out.unionByName(hit)
-    return out.select("start", "node", "nodes", "edge_ids")
+    return now.select("start", "node", "nodes", "edge_ids") if out is None else out.select("start", "node", "nodes", "edge_ids")
 
 
 def chained(legs: list[DataFrame]) -> DataFrame:

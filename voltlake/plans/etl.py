@@ -211,7 +211,7 @@ _LINES = rf"""ln AS (SELECT doc_id, source, unnest(l) AS line, generate_subscrip
 _EFF = lambda x: rf"length(regexp_replace({x}, '[ \t\r\n\x{{3000}}\x{{00a0}}]+', '', 'g'))"
 _H = r"^[ \x{3000}]*"
 _LEVEL = rf"""CASE WHEN regexp_matches(line, '{_H}第[一二三四五六七八九十百零]+章') THEN 1 WHEN regexp_matches(line, '{_H}[0-9]+\.[0-9]+\.[0-9]+') THEN 3 WHEN regexp_matches(line, '{_H}[0-9]+\.[0-9]+([^0-9%．.]|$)') THEN 2
- WHEN regexp_matches(line, '{_H}[0-9]+[.、]') THEN 1 WHEN regexp_matches(line, '{_H}[一二三四五六七八九十]+、') THEN 1 WHEN regexp_matches(line, '{_H}（[一二三四五六七八九十]+）') THEN 2 END"""
+ WHEN regexp_matches(line, '{_H}[0-9]+[.、]([^0-9]|$)') THEN 1 WHEN regexp_matches(line, '{_H}[一二三四五六七八九十]+、') THEN 1 WHEN regexp_matches(line, '{_H}（[一二三四五六七八九十]+）') THEN 2 END"""
 
 
 def _bare(x: str) -> str:
