@@ -158,11 +158,20 @@ def weighted(rewards: list[Column], shares: list[float] = REWARD_SHARES) -> Colu
 
 
 # The rules of memory need.
-STRONG_PHRASES = ["刚才", "之前", "上次", "前面", "上面", "刚刚", "继续", "接着", "还是那个", "同样的问题", "你说的", "我说过", "我们聊", "上一个", "上一条", "回到", "previous", "earlier"]
+STRONG_PHRASES = ["之前提到的", "前面提到的", "上次说的", "刚才说的", "刚才的内容", "和刚才一样", "继续上一个", "接着说", "继续说", "继续讲", "再说一遍", "再讲一遍", "再详细说", "再详细讲", "再详细讲述", "详细展开", "进一步说明", "补充说明"]
+REFERS = [
+    "^(?:这个|那个|它|他|她)(?:怎么|是|有|能|可以|需要|为什么|是否|呢|吗|的|和|与|跟|相比|区别|不同)",
+    "^(?:这个|那个|它|他|她).*(?:和|与|跟).*(?:区别|不同|差异|相比)",
+    "^(?:再|继续|接着|进一步).*(?:说|讲|介绍|解释|说明|展开|分析)",
+    "^那(?:能|可以|还能|也能|有没有|是否|怎么|为什么|在哪里|在哪|用什么|如何)",
+]
+OWN_ANTECEDENT = "[一-鿿A-Za-z0-9]{2,}[，,；;。.!！？?].*(?:这个|那个|它|他|她)"
 
 
 def needs_memory(question: Column) -> Column:
-    """A strong phrase, or a pronoun at the start without an own antecedent."""
+    """A strong phrase or a referring start, unless the question holds the antecedent itself."""
     q = stripped(F.coalesce(question, F.lit("")))
-    pronoun = q.rlike("^(?:这个|那个|它|他|她|这|那(?:怎么|如何|为什么|要|会|能))")
-    return any_of(F.lower(q), STRONG_PHRASES) | (pronoun & ~q.rlike("^(?:这个|那个)[一-鿿]{2,}(?:是|有|的)"))
+    refers = any_of(q, STRONG_PHRASES)
+    for p in REFERS:
+        refers = refers | q.rlike(p)
+    return refers & ~q.rlike(OWN_ANTECEDENT)

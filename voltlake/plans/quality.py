@@ -216,7 +216,7 @@ SQL = {
     "SELECT request_id, score, CASE WHEN score >= 0.85::DOUBLE THEN 'excellent' WHEN score >= 0.70::DOUBLE THEN 'good' WHEN score >= 0.55::DOUBLE THEN 'needs_improvement' ELSE 'poor' END AS level FROM z",
     "diagnostics": rf"WITH {_AN} SELECT request_id, length(coalesce(answer, '')) AS chars, {_HANS} AS han, len(list_filter(list_transform(string_split_regex(coalesce(answer, ''), '[。！？!?；;\n]+'), lambda s: regexp_replace(s, '^[ \t\r\n\x{{3000}}]+|[ \t\r\n\x{{3000}}]+$', '', 'g')), lambda s: s <> '')) AS sentences, {_count(_BARE := 'coalesce(answer, chr(32))', Q.REFUSAL_SIGNALS)} AS signals FROM an",
     "similarity_forms": rf"WITH {_AN} SELECT request_id, regexp_replace(lower(coalesce(answer, '')), '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+', '', 'g') AS form FROM an",
-    "memory_need": f"WITH {CHATS_SQL} SELECT chat_id, {_has(f'lower({_Q})', Q.STRONG_PHRASES)} OR (regexp_matches({_Q}, '^(?:这个|那个|它|他|她|这|那(?:怎么|如何|为什么|要|会|能))') AND NOT regexp_matches({_Q}, '^(?:这个|那个)[一-鿿]{{2,}}(?:是|有|的)')) AS needs FROM c",
+    "memory_need": f"WITH {CHATS_SQL} SELECT chat_id, ({_has(_Q, Q.STRONG_PHRASES)} OR {' OR '.join(f"regexp_matches({_Q}, '{p}')" for p in Q.REFERS)}) AND NOT regexp_matches({_Q}, '{Q.OWN_ANTECEDENT}') AS needs FROM c",
     "split_counts": rf"WITH {_SAMPLES} SELECT lower(trim(regexp_replace(dataset_split, '[\t\r\n]', '', 'g'))) AS split, difficulty, question_type, count(*) AS n FROM s GROUP BY 1, 2, 3",
     "context_counts": f"WITH {_SAMPLES} SELECT question_type, min(n_chunks) AS least, max(n_chunks) AS most, count(*) AS n FROM s GROUP BY 1",
     "index_split": f"WITH {_AN} SELECT request_id, CASE request_id % 10 WHEN 9 THEN 'validation' WHEN 0 THEN 'test' ELSE 'train' END AS split FROM an",
