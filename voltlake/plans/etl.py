@@ -191,10 +191,10 @@ def series_validate(spark, d):
 def metric_pick(spark, d):
     """FUS-12: for each query vector the nearest vector of each label, an equal id first."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding", "label").filter("vec_id is not null")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.lit(0).alias("j"))
-    # one search a label: the label is the group, and each query asks every label
-    labels = e.select("label").distinct()
-    asked = q.withColumn("j", F.lit(0)).join(labels.withColumn("j", F.lit(0)), "j").select(F.concat_ws(":", "query_id", "label").alias("qk"), "qv", "label")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    # one search a label: the label is the group, and each query asks every label (a fixed set of few)
+    labels = sorted(r.label for r in e.select("label").distinct().collect() if r.label is not None)
+    asked = q.withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels] or [F.lit(0)]))).select(F.concat_ws(":", "query_id", "label").alias("qk"), "qv", "label")
     found = exact_knn(asked, e, "qk", "qv", "vec_id", "embedding", 1, group="label")
     return found.select(F.split("qk", ":")[0].cast("bigint").alias("query_id"), F.split("qk", ":")[1].cast("int").alias("label"), F.col("vec_id").cast("bigint").alias("vec_id"), "cosine")
 
