@@ -34,9 +34,10 @@ def match(requests: DataFrame, posts: DataFrame, key: str, docs: DataFrame) -> D
     stats = df.join(F.broadcast(lengths), "field").join(F.broadcast(counts), "field")  # a row for each field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = posts.join(stats.select("field", "tok", "df", "avgdl", "n"), ["field", "tok"]).select(key, "field", "tok", weight.alias("w"))
-    hits = asked.join(scored, "tok").groupBy("request_id", key, "field").agg(F.round(F.sum("w"), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
-    return hits.join(n_asked, "request_id")
+    scored = posts.join(stats.select("field", "tok", "df", "avgdl", "n"), ["field", "tok"]).select(F.xxhash64(key).alias("_doc"), "field", "tok", weight.alias("w"))
+    hits = asked.join(scored, "tok").groupBy("request_id", "_doc", "field").agg(F.round(F.sum("w"), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
+    # the many sums are kept by a number, the key comes back afterwards
+    return hits.join(n_asked, "request_id").join(docs.select(key, F.xxhash64(key).alias("_doc")).distinct(), "_doc").drop("_doc")
 
 
 def best_fields(hits: DataFrame, key: str, boosts: dict[str, float], least_share: float = 0.0) -> DataFrame:
