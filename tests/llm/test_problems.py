@@ -52,6 +52,21 @@ def test_copies_of_one_vector(spark):
     assert got == brute_pairs([(f"{i:03d}", v) for i in range(90)])
 
 
+@pytest.mark.parametrize("n,cosine", [(200, 0.99), (750, 0.99), (1500, 0.997)])
+def test_dense_group_keeps_the_nearest(n, cosine):
+    rng = np.random.default_rng(6)
+    centre, noise = rng.standard_normal(64), rng.standard_normal((n, 64))
+    unit = centre + noise * np.sqrt(1 / cosine - 1)
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    at = np.arange(n)
+    i, j = neighbours.leaf_pairs(neighbours.code4(unit), np.ones(n, bool), at, at.astype(str).astype(object), 10, 0.9)
+    kept = set(zip(i.tolist(), j.tolist()))
+    c = unit.astype(float) @ unit.T.astype(float)
+    np.fill_diagonal(c, -1)
+    want = [(a, b) for a in range(n) for b in np.argsort(-c[a])[:10].tolist()]
+    assert sum(x in kept for x in want) >= 0.999 * len(want)
+
+
 def test_no_vectors(spark):
     assert neighbours.similar_pairs(spark.createDataFrame([], "id string, v array<double>"), {"v": "x"}).count() == 0
 

@@ -6,8 +6,8 @@
 2. Route: every vector goes to its home leaf in each tree. Then one priority queue shared by all trees, ordered by the distance
    to the threshold that a deviation crosses, gives its PROBES next leaves. Rows travel as 4-bit codes, packed into one
    row for each (leaf, batch).
-3. Search: each leaf compares its vectors in blocks and keeps, for each vector, the CANDIDATES * k nearest by coded cosine
-   that may reach the least similarity.
+3. Search: each leaf compares its vectors in blocks and keeps, for each vector, all that may be among its k nearest and may reach
+   the least similarity: coded cosines err by at most SLACK, so these are the ones within 2 * SLACK of the k-th best.
 4. Rerank: candidate pairs meet the vectors' 16-bit codes once more (error of the cosine below 1e-4) and the k best of each
    vector are taken.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 WIDTH, K, LEAST = 64, 10, 0.90
 SAMPLE, TREES, LEAF, PROBES, HOT, SEED = 20_000, 9, 1500, 1, 1000, 17
-SLACK, CANDIDATES = 0.06, 4  # three standard errors of a cosine of 4-bit codes; candidates a vector and leaf, as a multiple of k
+SLACK = 0.06  # three standard errors of a cosine of 4-bit codes
 
 
 def _unit(column: pa.Array, width: int):
@@ -198,7 +198,7 @@ PACKED = "field string, leaf bigint, ids array<string>, member binary, codes bin
 
 
 def leaf_pairs(codes, member, query, ids, k: int, least: float, slack: float = SLACK):
-    """(i, j) of candidates: j is among the CANDIDATES * k members nearest to i, no further than least and the coding error. In blocks of 512 queries."""
+    """(i, j) of candidates: j may be among the k members nearest to i and no further than least, by the coding error. In blocks of 512 queries."""
     import numpy as np
 
     unit = decode4(codes)
@@ -215,7 +215,11 @@ def leaf_pairs(codes, member, query, ids, k: int, least: float, slack: float = S
             continue
         order = np.lexsort((-c[i, j], i))
         i, j = i[order], j[order]
-        near = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < CANDIDATES * k
+        near, first = c[i, j], np.searchsorted(i, np.arange(len(q) + 1))
+        kth = np.full(len(q), least, np.float32)  # with fewer than k all stay
+        full = np.diff(first) >= k
+        kth[full] = near[first[:-1][full] + k - 1]
+        near = near >= kth[i] - 2 * slack
         left.append(q[i[near]])
         right.append(m[j[near]])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
@@ -246,11 +250,13 @@ def _search(k: int, least: float, width: int):
         i, j = leaf_pairs(codes, member, query, ids, k, least)
         if copies:
             i, j = np.r_[i, [x for x, _ in copies]], np.r_[j, [x for _, x in copies]]
-        a, b = ids[i], ids[j]
-        low = a < b
-        first, second = np.where(low, a, b), np.where(low, b, a)
-        pairs = pd.DataFrame({"a": first, "b": second}).drop_duplicates()
-        return pa.table({"field": pa.array([field] * len(pairs), pa.string()), "id_a": pa.array(pairs.a, pa.string()), "id_b": pa.array(pairs.b, pa.string())})
+        # ids are sorted, so their numbers compare as they do; a dense leaf may give millions of pairs
+        number = np.cumsum(np.r_[True, ids[1:] != ids[:-1]])[: len(ids)] - 1
+        names = pa.array(ids[np.r_[True, ids[1:] != ids[:-1]][: len(ids)]], pa.string())
+        a, b = number[i], number[j]
+        pairs = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
+        id_a, id_b = names.take(pa.array(pairs // len(ids))), names.take(pa.array(pairs % len(ids)))
+        return pa.table({"field": pa.array([field] * len(pairs), pa.string()), "id_a": id_a, "id_b": id_b})
 
     return run
 
