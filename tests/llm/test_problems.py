@@ -101,6 +101,32 @@ def test_clock_offset(spark):
     assert r.offset_s == pytest.approx(3570) and r.offset_residual == pytest.approx(0, abs=1e-6)
 
 
+def test_clock_offset_over_all_bounds(spark):
+    rng = random.Random(8)
+    rows, n = [], 0
+    # one reply a minute early among sound ones; sound; shifted; at random
+    for s, shift in ((1, lambda i: -60 if i == 4 else 5), (2, lambda i: 5), (3, lambda i: -3000), (4, lambda i: rng.randint(-200, 200)), (5, lambda i: rng.choice([-90, 5, 90]))):
+        for i in range(12):
+            n += 1
+            m, x = divmod(i * 60 + 3600 + shift(i), 60)
+            rows.append((n, s, 9, "q", "a", "COMPLETED", f"2026-01-01 11:{i:02d}:00", f"2026-01-01 {10 + m // 60:02d}:{m % 60:02d}:{x:02d}", "x"))
+    df, sessions = chats(spark, rows), spark.createDataFrame([(s, 9, "y") for s in range(1, 6)], SESSION)
+    turns = conversations.ordered_turns(df, sessions)
+    got = {r.session_id: r for r in conversations.clock_offsets(turns).collect()}
+    for s in range(1, 6):
+        t = [tuple(np.datetime64(x.replace(" ", "T")).astype("datetime64[s]").astype(int) for x in r[6:8]) for r in rows if r[1] == s]
+        low, high = np.array([c - u for c, u in t]), np.array([c - u for (c, _), (_, u) in zip(t[1:], t)])
+        cost = lambda d: (np.maximum(0, low - d) ** 2).sum() + (np.maximum(0, d - high) ** 2).sum()  # noqa: B023, E731
+        grid = np.arange(-400, 4000, 0.01)
+        best = min(grid, key=lambda d: (round(cost(d), 3), abs(d))) if s < 4 else min(np.arange(-400, 400, 0.01), key=cost)
+        assert cost(got[s].offset_s) <= cost(best) + 1e-3 and got[s].offset_s == pytest.approx(best, abs=0.02)
+        assert got[s].offset_residual == pytest.approx(np.sqrt(cost(got[s].offset_s) / 23), abs=1e-6) and got[s].constraints == 23
+    # with corrected times the feasible conversations are in the statement's order, the others left out
+    key = ["session_id", "msg_no", "role", "chat_id"]
+    merged = {tuple(r) for r in conversations.corrected_messages(turns).select(key).collect()}
+    assert merged == {tuple(r) for r in conversations.messages(df, sessions).select(key).collect() if r.session_id in (2, 3)}
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 Q = "为什么密封老化会引起冷却器的通信中断，芷桥站的88次记录能说明什么？"

@@ -3,8 +3,9 @@
 The two senders of a session, user and assistant, have clocks of their own. A row holds the user's time
 (create_time) and the assistant's (update_time). Reply-before constraints bound the offset d that must be added to the
 assistant's clock: a reply comes after its question (d >= create_i - update_i) and before the next question
-(d <= create_i+1 - update_i). The offset is the least-squares fit of the bounds that d = 0 breaks. Corrected times
-order the turns. As the statement orders rows by the user's clock, the correction moves only the assistant's times.
+(d <= create_i+1 - update_i). The offset is the least-squares fit over all bounds. corrected_messages() merges the messages
+of the sessions whose bounds can be met by their corrected times. messages() does not use the offset: the statement orders rows by the user's
+clock and names all reasons to reject.
 
 A conversation is infeasible, and rejected as a whole, if any current row of it is not completed, has no create_time, has
 no content in question or answer, or isn't of the session's owner, or if its session is missing. (Rows whose bounds
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.functions.content import has_content, is_completed
+from voltlake.operators.memory import numbered
 
-HOUR = 3600
+HOUR, BINS = 3600, 1024
 
 
 def current_rows(chats: DataFrame) -> DataFrame:
@@ -72,23 +74,70 @@ def ordered_turns(chats: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
+def _bounds(turns: DataFrame) -> DataFrame:
+    """session_id, low (lower or upper bound of the offset), v in microseconds; as numbers that doubles hold exactly."""
+    t = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    nxt = turns.select("session_id", (F.col("turn_no") - 1).alias("turn_no"), t("create_time").alias("next_create"))
+    b = turns.join(nxt, ["session_id", "turn_no"], "left").select("session_id", (t("create_time") - t("update_time")).alias("low"), (F.col("next_create") - t("update_time")).alias("high"))
+    both = F.array(F.struct(F.lit(True).alias("low"), F.col("low").alias("v")), F.struct(F.lit(False).alias("low"), F.col("high").alias("v")))
+    return b.select("session_id", F.explode(both).alias("b")).select("session_id", "b.low", F.col("b.v").cast("double").alias("v")).filter("v is not null")
+
+
+def _span(bounds: DataFrame) -> DataFrame:
+    """session_id, lo, hi: the largest lower and the least upper bound; met: the offset nearest to 0 that meets all bounds, if lo <= hi or hi is null."""
+    s = bounds.groupBy("session_id").agg(F.max(F.when(F.col("low"), F.col("v"))).alias("lo"), F.min(F.when(~F.col("low"), F.col("v"))).alias("hi"))
+    return s.withColumn("met", F.greatest(F.col("lo"), F.least(F.lit(0.0), F.col("hi"))))  # one may be missing: greatest and least skip nulls
+
+
+def _first_root(e: DataFrame, group: list[str], order: str) -> DataFrame:
+    """The first row of each group, by order, at whose top the slope of the squared violations isn't negative. e has low_n, low_s, high_n, high_s (number
+    and sum of the bounds of each kind), top, and as base_* what is broken by all other bounds. broken_n, broken_s: what is broken just below the row."""
+    upto = Window.partitionBy(*group).orderBy(order)
+    whole = Window.partitionBy(*group)
+    run = lambda c: F.sum(c).over(upto)
+    above = lambda c: F.sum(c).over(whole) - run(c)
+    e = e.withColumns({"n": F.col("base_n") + above("low_n") + run("high_n"), "s": F.col("base_s") + above("low_s") + run("high_s")})
+    e = e.withColumns({"broken_n": F.col("n") + F.col("low_n") - F.col("high_n"), "broken_s": F.col("s") + F.col("low_s") - F.col("high_s"), "rest_n": F.col("n") - F.col("high_n"), "rest_s": F.col("s") - F.col("high_s")})
+    state = F.struct(order, "broken_n", "broken_s", "rest_n", "rest_s")
+    return e.filter(F.col("n") * F.col("top") >= F.col("s")).groupBy(*group).agg(F.min(state).alias("r")).select(*group, "r.*")
+
+
 def clock_offsets(turns: DataFrame) -> DataFrame:
     """session_id, offset_s, offset_residual, constraints: the assistant's clock against the user's, in seconds.
 
-    Bounds met at offset 0 take no part, so a session with sound clocks gets exactly 0. The broken lower bounds are
-    positive, the broken upper ones negative; their mean is the least-squares offset, and the residual is the root mean
-    square of what stays broken."""
-    t = lambda c: F.col(c).cast("timestamp").cast("double")
-    nxt = turns.select("session_id", (F.col("turn_no") - 1).alias("turn_no"), t("create_time").alias("next_create"))
-    b = turns.join(nxt, ["session_id", "turn_no"], "left").select(
-        "session_id", F.greatest(t("create_time") - t("update_time"), F.lit(0.0)).alias("low"), F.least(F.col("next_create") - t("update_time"), F.lit(0.0)).alias("high")
-    )
-    e = b.select("session_id", F.explode(F.array("low", "high")).alias("v")).filter("v is not null")
-    broken = F.when(F.col("v") != 0, F.col("v"))
-    return e.groupBy("session_id").agg(
-        F.coalesce(F.avg(broken), F.lit(0.0)).alias("offset_s"), F.coalesce(F.stddev_pop(broken), F.lit(0.0)).alias("offset_residual"),
-        F.count(F.lit(1)).alias("constraints"),
-    )
+    The offset d has the least sum of squared violations, max(0, low - d) and max(0, d - high), over all bounds. Where all can be met, that is
+    the d between the largest lower and the least upper bound that is nearest to 0, so a session with sound clocks gets exactly 0. Where not, the sum
+    has one minimum between them, found in two levels: BINS counts a session, then the bounds of one bin. The residual
+    is the root mean square of the violations over all bounds: 0 if the session is feasible."""
+    e = _bounds(turns)
+    span = _span(e)
+    bad = span.filter("lo > hi").select("session_id", "lo", "hi")
+    x = e.join(bad, "session_id").filter((F.col("low") & (F.col("v") > F.col("hi"))) | (~F.col("low") & (F.col("v") < F.col("lo"))))
+    x = x.withColumn("bin", F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("hi")) / (F.col("lo") - F.col("hi")) * BINS)))
+    sums = [F.coalesce(F.sum(F.when(k, y)), F.lit(0.0)).alias(n) for n, k, y in (("low_n", F.col("low"), F.lit(1.0)), ("low_s", F.col("low"), F.col("v")), ("high_n", ~F.col("low"), F.lit(1.0)), ("high_s", ~F.col("low"), F.col("v")))]
+    none = {"base_n": F.lit(0.0), "base_s": F.lit(0.0)}
+    bins = x.groupBy("session_id", "bin").agg(F.max("v").alias("top"), *sums).withColumns(none)
+    # broken throughout the bin: the lower bounds of later bins and the upper ones of earlier ones
+    at = _first_root(bins, ["session_id"], "bin").select("session_id", "bin", F.col("rest_n").alias("base_n"), F.col("rest_s").alias("base_s"))
+    inside = x.join(at, ["session_id", "bin"]).groupBy("session_id", "v", "base_n", "base_s").agg(*sums).withColumn("top", F.col("v"))
+    best = _first_root(inside, ["session_id"], "v").select("session_id", (F.col("broken_s") / F.col("broken_n")).alias("best"))
+    d = span.join(best, "session_id", "left").select("session_id", F.coalesce("best", "met").alias("d"))
+    broken = F.when(F.col("low"), F.col("v") - F.col("d")).otherwise(F.col("d") - F.col("v"))
+    left = e.join(d, "session_id").select("session_id", "d", F.greatest(broken, F.lit(0.0)).alias("x")).groupBy("session_id").agg(F.first("d").alias("d"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("r"), F.count(F.lit(1)).alias("constraints"))
+    return left.select("session_id", (F.col("d") / 1e6).alias("offset_s"), (F.col("r") / 1e6).alias("offset_residual"), "constraints")
+
+
+def corrected_messages(turns: DataFrame) -> DataFrame:
+    """session_id, msg_no, role, chat_id, at: the messages of the feasible conversations, merged by their corrected times.
+
+    Conversations whose bounds no offset meets are left out. A reply without time stands right after its question. Numbers are made in two levels, by day."""
+    kept = _span(_bounds(turns)).filter("hi is null or lo is null or lo <= hi").select("session_id", F.col("met").cast("bigint").alias("d"))
+    t = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    own, reply = t("create_time"), F.coalesce(t("update_time") + F.col("d"), t("create_time"))
+    role = F.array(F.struct(F.lit(1).alias("k"), F.lit("user").alias("role"), own.alias("us")), F.struct(F.lit(2).alias("k"), F.lit("assistant").alias("role"), reply.alias("us")))
+    rows = turns.join(kept, "session_id").select("session_id", "turn_no", "chat_id", F.explode(role).alias("r")).select("session_id", "turn_no", "chat_id", "r.*", F.floor(F.col("r.us") / 1_000_000).alias("s"))
+    out = numbered(rows, ["session_id"], ["us", "turn_no", "k"], "s", "msg_no")
+    return out.select("session_id", F.col("msg_no").cast("bigint").alias("msg_no"), "role", "chat_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("at"))
 
 
 def messages(chats: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -22,6 +22,11 @@ def p2_clock_offsets(spark: SparkSession, d: str) -> DataFrame:
     return conversations.clock_offsets(turns)
 
 
+def p2_corrected(spark: SparkSession, d: str) -> DataFrame:
+    turns = conversations.ordered_turns(table(spark, d, "llm_chat_table"), table(spark, d, "llm_session_table"))
+    return conversations.corrected_messages(turns)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return defects.chat_defects(table(spark, d, "llm_chat_table")).unionByName(defects.training_defects(table(spark, d, "training_sample")))
 
@@ -58,5 +63,5 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clock_offsets": p2_clock_offsets, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clock_offsets": p2_clock_offsets, "p2_corrected": p2_corrected, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_redacted": p8_redacted}
 SQL: dict[str, str] = {}
