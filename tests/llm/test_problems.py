@@ -204,6 +204,18 @@ def test_pieces_round_trip(text):
     assert all(s + len(piece) - lap in ends or h or s + len(piece) - lap == len(text) for s, lap, piece, h in p)
 
 
+@pytest.mark.parametrize("end", ["。\n", "！！\r\n", "。\n\n  \n", "。"])
+def test_overlap_is_the_last_sentence(end):
+    rng = random.Random(9)
+    said = ["".join(rng.choices("甲乙丙丁戊己庚辛壬癸", k=rng.randint(5, 40))) + end for _ in range(400)]
+    p = splitting.pieces("".join(said))
+    assert len(p) > 3
+    for (_, lap0, before, _), (_, lap, piece, _) in zip(p, p[1:]):
+        last = before[lap0:].rstrip("。！\r\n ").replace("！", "。").replace("\n", "。").split("。")[-1]
+        if len(piece) - lap + len(last) + 8 <= 1500:
+            assert piece[:lap].startswith(last) and last
+
+
 def test_edit_alters_neighbours_only():
     rng = random.Random(4)
     text = "".join("".join(rng.choices("甲乙丙丁戊己庚辛壬癸", k=rng.randint(5, 40))) + "。" for _ in range(800))

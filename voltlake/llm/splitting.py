@@ -4,7 +4,8 @@ A rolling (Buzhash) value over the last WINDOW characters marks landmarks; a lan
 A piece ends at the first snapped landmark between min_size and max_size characters, else at the last natural boundary
 before max_size, else (no boundary in reach) hard at max_size. As landmarks depend only on nearby characters, an edit
 alters only the pieces next to it. A piece after a natural cut starts with the last sentence of the piece before if that
-and the new text still fit into max_size.
+and the new text still fit into max_size. A sentence reaches back over boundaries until it holds a letter or digit, so the end sign and the line break
+after it belong to it.
 
 Natural boundaries lie after a line break, after any of the end signs, and after a full stop followed by white space.
 
@@ -86,7 +87,10 @@ def pieces(text: str, max_size: int = MAX_SIZE, min_size: int = MIN_SIZE) -> lis
     for end, hard in cut_points(text, max_size, min_size):
         lap = 0
         if out and not out[-1][3]:
-            s = b[bisect_left(b, start) - 1]
+            i = bisect_left(b, start) - 1
+            while i > 0 and b[i] > last_start and not any(map(str.isalnum, text[b[i] : start])):  # only marks and blanks so far: no sentence yet
+                i -= 1
+            s = b[i]
             if s >= last_start and start - s + end - start <= max_size:
                 lap = start - s
         out.append((start, lap, text[start - lap : end], hard))
