@@ -181,6 +181,30 @@ def test_overlaps(spark):
     assert overlap.overlaps(spark.createDataFrame([], SAMPLES)).count() == 0
 
 
+def test_frequent_seeds_and_numbering(spark):
+    rng = random.Random(3)
+    q, signs = "寒潮来临前调度员发现岚崖站储能变流器的环境湿度持续升高，应当怎样判断？", [chr(0x4E00 + i) for i in range(900)]
+    base = "".join(rng.choices(signs, k=220))
+
+    def edited():  # two signs in each 28 are exchanged
+        t = list(base)
+        for s in range(0, len(t) - 28, 28):
+            for k in rng.sample(range(28), 2):
+                t[s + k] = rng.choice(signs)
+        return "".join(t) + "。"
+
+    texts = [edited() for _ in range(240)]
+    rows = [sample(f"{i:03d}", "train" if i % 2 else "test", q, t) for i, t in enumerate(texts)]
+    rows += [sample("x", "train", "1. 密封垫老化怎样处理？\n2. 湿度升至98%应当怎样判断？", ANSWER), sample("y", "test", "密封垫老化怎样处理？\n湿度升至98%应当怎样判断？", ANSWER.replace("，", ","))]
+    got = {(r.id_a, r.id_b) for r in overlap.overlaps(spark.createDataFrame(rows, SAMPLES)).collect()}
+    assert ("x", "y") in got
+    folds = [set(overlap.seeds(overlap.folded(q), overlap.folded(t)).tolist()) for t in texts]
+    # pairs that share over 1 - RARE of their seeds, and are cases by alignment
+    want = {(f"{i:03d}", f"{j:03d}") for i in range(240) for j in range(i + 1, 240) if (i + j) % 2 and len(folds[i] & folds[j]) > 0.45 * max(len(folds[i]), len(folds[j]))}
+    want = {(a, b) for a, b in want if overlap.same_record(q, texts[int(a)], q, texts[int(b)])[2]}
+    assert len(want) > 100 and want <= got
+
+
 def test_winnowing_guarantee():
     text = "".join(random.Random(1).choices("甲乙丙丁戊己庚辛壬癸子丑寅卯", k=300))
     shared = text[100 : 100 + overlap.WINDOW + overlap.GRAM - 1]

@@ -4,10 +4,11 @@
    lower case, only letters and digits.
 2. Winnowing: rolling hashes of GRAM folded characters; of each window of WINDOW hashes the least is selected. Question and answer
    are winnowed apart. Whatever the order of their sentences, two texts that share WINDOW + GRAM - 1 characters share a selected hash.
-3. Join: each record's seeds are ordered by how many records have them, and only its RARE rarest share meets across splits (never
-   within one). Two records that share more than 1 - RARE of their seeds share one of these (prefix filtering), and stock
-   phrases hardly ever meet. A seed that over HOT records have, rare as it may be in its record, is replaced by itself and the two after it.
-   As a case needs equal figures, the seeds of two records meet only if the figures of their questions are the same.
+3. Join: as a case needs equal figures, the seeds of two records meet only if the figures of their questions are the same, as they stand or
+   without numbering. Each record's seeds are ordered by how many records of the same figures have them, and only its RARE rarest share
+   meets across splits (never within one). Two records that share more than 1 - RARE of their seeds share one of these (prefix
+   filtering), and stock phrases hardly ever meet. A seed that over HOT train records have is spread over salts, one for each HOT
+   of them, and meets as any other.
    Records whose folded texts are equal share a class: only one record of each class and split side takes part, and
    classes are expanded at the end.
 4. Chain and extend: shared seeds are counted a pair; pairs with MIN_SHARED of them are aligned sentence by sentence
@@ -68,18 +69,10 @@ def minima(text: str, gram: int = GRAM, window: int = WINDOW) -> list[int]:
 
 
 def seeds(question: str, answer: str):
-    """(seeds, longer seeds: three selected hashes in a row) of both texts, each seed once."""
+    """Seeds of both texts, each once."""
     import numpy as np
 
-    one, long = [], []
-    for salt, text in ((17, question), (0, answer)):
-        m = _minima(text, GRAM, WINDOW) ^ np.int64(salt)
-        b, c = np.append(m[1:], 0)[: len(m)], np.append(m[2:], [0, 0])[: len(m)]
-        with np.errstate(over="ignore"):
-            long.append((m * np.int64(961) + b * np.int64(31) + c + np.int64(11)) & np.int64(0x7FFFFFFFFFFFFFFF))
-        one.append(m)
-    s, at = np.unique(np.concatenate(one), return_index=True)
-    return s, np.concatenate(long)[at]
+    return np.unique(np.concatenate([_minima(text, GRAM, WINDOW) ^ np.int64(salt) for salt, text in ((17, question), (0, answer))]))
 
 
 def records(samples: DataFrame) -> DataFrame:
@@ -103,21 +96,22 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, side, question, fq, fa) to (cls, side, figures, seeds, longer): lists, so that rows are made outside Python."""
+    """(cls, side, question, fq, fa) to (cls, side, figures, seeds): lists, so that rows are made outside Python."""
     import numpy as np
 
     for b in batches:
-        both = [seeds(q, t) for q, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
-        offsets = pa.array(np.r_[0, np.cumsum([len(x) for x, _ in both])].astype(np.int32))
-        flat = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[i] for x in both]) if both else np.zeros(0, np.int64))) for i in (0, 1)]
-        marks = pa.array([" ".join(figures(q)) for q in b.column(2).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), marks, *flat], names=["cls", "side", "figures", "seeds", "longer"])
+        found = [seeds(q, t) for q, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+        offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32))
+        flat = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+        marks = pa.array([figure_keys(q) for q in b.column(2).to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), marks, flat], names=["cls", "side", "figures", "seeds"])
 
 
 def sentences(text: str) -> list[str]:
     """Sentences in NFKC form without bullets and numbering."""
-    text = unicodedata.normalize("NFKC", text)
-    out = [re.sub(r"^\s*(?:[-*+•>#]+|\(?\d{1,2}[.、)])\s*(?=\D)", "", s).strip() for s in re.split(r"[。！!?？;；\n\r]+|\.(?=\s|$|[一-鿿])", text)]
+    mark = r"^\s*(?:[-*+•>#]+|\(?\d{1,2}[.、)])\s*(?=\D)"
+    text = re.sub("(?m)" + mark, "", unicodedata.normalize("NFKC", text))  # before the split, which would part a number from its line at the full stop
+    out = [re.sub(mark, "", s).strip() for s in re.split(r"[。！!?？;；\n\r]+|\.(?=\s|$|[一-鿿])", text)]
     return [s for s in out if folded(s)]
 
 
@@ -128,6 +122,11 @@ def figures(text: str) -> list[str]:
     return sorted(_FIGURE.findall(unicodedata.normalize("NFKC", text)))
 
 
+def figure_keys(question: str) -> list[str]:
+    """The figures of the question without numbering, as aligned() compares them, and as they stand, as same_record() does of the whole; one if they are the same."""
+    return sorted({" ".join(figures(" ".join(sentences(question)))), " ".join(figures(question))})
+
+
 def likeness(a: str, b: str) -> float:
     """Twice the longest common subsequence by the sum of the lengths."""
     at: dict[str, int] = {}
@@ -210,17 +209,19 @@ def overlaps(samples: DataFrame) -> DataFrame:
     members = cut(text.select("sample_id", "split", "side", "cls"))
     classes = text.groupBy("cls", "side").agg(F.min(F.struct("sample_id", "question", "answer", "fq", "fa")).alias("r")).select("cls", "side", "r.*")
     classes = cut(classes)  # read four times
-    sown = classes.select("cls", "side", "question", "fq", "fa").mapInArrow(_seeds, "cls bigint, side string, figures string, seeds array<bigint>, longer array<bigint>")
-    sown = sown.select("cls", "side", "figures", F.explode(F.arrays_zip("seeds", "longer")).alias("s")).select("cls", "side", "figures", F.col("s.seeds").alias("seed"), "s.longer")
-    sown = cut(sown.withColumn("figures", F.xxhash64("figures")))  # numbers only, read twice
-    met = sown.join(sown.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "seed", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    own = Window.partitionBy("cls", "side")
+    sown = classes.select("cls", "side", "question", "fq", "fa").mapInArrow(_seeds, "cls bigint, side string, figures array<string>, seeds array<bigint>")
+    sown = sown.select("cls", "side", F.explode("figures").alias("figures"), "seeds").select("cls", "side", F.xxhash64("figures").alias("figures"), F.explode("seeds").alias("seed"))
+    sown = cut(sown)  # numbers only, read twice
+    met = sown.join(sown.groupBy("figures", "seed").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == "train").alias("trains")).filter("n > 1"), ["figures", "seed"], "left")
+    met = met.withColumn("n", F.coalesce("n", F.lit(1)))
+    own = Window.partitionBy("cls", "side", "figures")
     rank, size = F.row_number().over(own.orderBy("n", "seed")), F.count(F.lit(1)).over(own)
     rare = met.withColumns({"rank": rank, "size": size}).filter((F.col("rank") <= F.ceil(F.col("size") * RARE) + 1) & (F.col("n") > 1))
-    rare = rare.select("cls", "side", "figures", F.when(F.col("n") > HOT, F.col("longer")).otherwise(F.col("seed")).alias("seed")).distinct()
-    a = rare.filter("side = 'train'").select(F.col("cls").alias("cls_a"), "figures", "seed")
-    b = rare.filter("side = 'other'").select(F.col("cls").alias("cls_b"), "figures", "seed")
-    pairs = a.join(b, ["figures", "seed"]).groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= MIN_SHARED)
+    rare = rare.withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("trains") / HOT)).cast("int")).select("cls", "side", "figures", "seed", "salts")
+    # of a hot seed each train record stands under one salt, each other record under all: every pair meets once
+    a = rare.filter("side = 'train'").select(F.col("cls").alias("cls_a"), "figures", "seed", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"))
+    b = rare.filter("side = 'other'").select(F.col("cls").alias("cls_b"), "figures", "seed", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = a.join(b, ["figures", "seed", "salt"]).groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= MIN_SHARED)
     same = classes.filter("side = 'train'").select("cls").join(classes.filter("side = 'other'").select("cls"), "cls").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
     pairs = pairs.select("cls_a", "cls_b").filter("cls_a != cls_b")
     side = lambda s, x: classes.filter(F.col("side") == s).select(F.col("cls").alias(f"cls_{x}"), F.col("question").alias(f"q_{x}"), F.col("answer").alias(f"a_{x}"))
