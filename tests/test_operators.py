@@ -213,3 +213,18 @@ def test_trailing_and_margins(spark):
     assert sorted(r.page for r in etl.trailing(p, "g", "page", "chars").collect()) == [4, 5]
     rows = spark.createDataFrame([("s", i, f"第 {i} 页") for i in range(23)] + [("s", 1, "正文")], "g string, page int, line string")
     assert [r.pages for r in etl.repeated_margins(rows, "g", "page").collect()] == [23]
+
+
+def test_fused_history_vectors(spark):
+    from voltlake.operators import memory as M
+    from voltlake.plans.memory import named_vectors
+
+    unit = lambda x, y: [float(x), float(y)] + [0.0] * 62
+    named = spark.createDataFrame([(20, "a"), (20, "b"), (20, "c"), (20, "d")], "request_id long, id string")
+    asked = spark.createDataFrame([(20, unit(1, 0))], "request_id long, query_vector array<double>")
+    rows = spark.createDataFrame([("a", "chat", unit(2, 0)), ("a", "chat", unit(2, 0)), ("b", "chat", unit(-1, 0)), ("c", "chat", None), ("x", "chat", unit(1, 0)), ("d", "chat", unit(0, 3))], "id string, memory_type string, query_vector array<double>")
+    near = named_vectors(named, asked, rows)
+    assert {(r.id, r.score) for r in near.collect()} == {("a", 1.0), ("b", 0.0), ("d", 0.5)}
+    kw = spark.createDataFrame([(20, "c", 7.0), (20, "d", 3.5)], "request_id long, id string, score double")
+    # a is found by its vector only; c, by keyword only, does not exceed 0.4
+    assert {(r.id, r.score) for r in M.fused_search(kw, near, "id").collect()} == {("a", 0.6), ("d", 0.5)}

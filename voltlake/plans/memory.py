@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltlake.functions import vectors as V
 from voltlake.functions.text import session_name as name_of
 from voltlake.functions.text import stripped
 from voltlake.operators import graph as G
@@ -12,7 +13,7 @@ from voltlake.operators import lexical
 from voltlake.operators import memory as M
 from voltlake.operators.knn import exact_knn
 from voltlake.plans.base import CHATS_SQL, MEMORY_SQL, REQUESTS_SQL, bm25_sql, chats, memory, request_vectors, requests
-from voltlake.session import table
+from voltlake.session import cut, table
 from voltlake.streaming import events as E
 
 
@@ -101,7 +102,7 @@ def abstract_search(spark, d):
 
 
 def history_search(spark, d):
-    """FUS-17: chats named by the matched summaries, keyword channel, within those chats."""
+    """Keyword channel of FUS-17: chats named by the matched summaries, with raw scores. fused_history_search is the whole of it."""
     hit = abstract_search(spark, d).join(memory(spark, d).select("id", "chat_ids"), "id")
     named = hit.select("request_id", F.explode("chat_ids").alias("id")).distinct()
     m = memory(spark, d).filter("memory_type = 'chat'")
@@ -109,6 +110,27 @@ def history_search(spark, d):
     return kw.join(named, ["request_id", "id"], "left_semi").select("request_id", "id", "score")
 
 
+def fused_history_search(spark, d):
+    """FUS-17: chats of the user named by the matched summaries, three best by keyword 0.4 and three by vector 0.6, above 0.4."""
+    hit = abstract_search(spark, d).join(memory(spark, d).select("id", "chat_ids"), "id")
+    named = hit.select("request_id", F.explode("chat_ids").alias("id")).distinct()
+    m = memory(spark, d).filter("memory_type = 'chat'")
+    r = requests(spark, d)
+    named = named.join(r.select("request_id", "user_id"), "request_id").join(m.select("id", F.col("user_id").alias("owner")), "id").filter("user_id = owner").select("request_id", "id")
+    named = cut(named)  # read by both channels
+    kw = lexical.best_fields(lexical.match(r, lexical.postings(m, "id", ["query", "answer"]), "id", m), "id", {"query": 1.0, "answer": 1.0})
+    kw = kw.join(named, ["request_id", "id"], "left_semi").select("request_id", "id", "score")
+    return M.fused_search(lexical.top(kw, "id", 3), lexical.top(named_vectors(named, request_vectors(spark, d), table(spark, d, "memory_history")), "id", 3), "id")
+
+
+def named_vectors(named: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """request_id, id, score of the named chats by their query_vector; ties and repeats as in exact_knn."""
+    q = asked.filter(V.usable(F.col("query_vector"), 64)).select("request_id", F.col("query_vector").alias("q"))
+    v = rows.filter((F.col("memory_type") == "chat") & V.usable(F.col("query_vector"), 64)).select("id", F.col("query_vector").alias("v")).distinct()
+    near = named.join(q, "request_id").join(v, "id").select("request_id", "id", ((1 + F.round(V.cosine(F.col("q"), F.col("v")), 6)) / 2).alias("score"))
+    return near.groupBy("request_id", "id").agg(F.max("score").alias("score"))
+
+
 def _graph(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "nation").select(F.concat(F.lit("rn"), "n_nationkey").alias("edge_id"), F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
     s = table(spark, d, "supplier").select(F.concat(F.lit("ns"), "s_suppkey").alias("edge_id"), F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"))
@@ -206,7 +228,7 @@ def event_windows(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    recent_turns, summary_groups, pending_summaries, chat_list, completed_chats, session_names, sessions_of_user, ownership, chat_points, status_fold, history_filter, abstract_search, history_search,
+    recent_turns, summary_groups, pending_summaries, chat_list, completed_chats, session_names, sessions_of_user, ownership, chat_points, status_fold, history_filter, abstract_search, history_search, fused_history_search,
     graph_trails, graph_via_paths, entity_align, anchored_limiter, dedupe_delivery, hit_islands, stream_assemble, stream_retention, profile_fold, message_validation, event_windows,
 )}
 
