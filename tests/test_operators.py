@@ -228,3 +228,19 @@ def test_fused_history_vectors(spark):
     kw = spark.createDataFrame([(20, "c", 7.0), (20, "d", 3.5)], "request_id long, id string, score double")
     # a is found by its vector only; c, by keyword only, does not exceed 0.4
     assert {(r.id, r.score) for r in M.fused_search(kw, near, "id").collect()} == {("a", 0.6), ("d", 0.5)}
+
+
+def test_eight_rewards(spark):
+    from voltlake.operators import quality as Q
+    from voltlake.plans import quality as P
+
+    c = "变压器油温升高时应检查冷却器并复测绝缘电阻，确认无误后方可恢复送电。"
+    user = "【检索资料】\n[source_1]\ndocument_title: 甲\nchunk_id: 甲_1\n" + c + "\n\n[source_2]\ndocument_title: 乙\nchunk_id: 乙_2\n无关材料。\n\n【问题】\n"
+    q = "变压器油温升高时应当怎样处理为好？"
+    rows = [("copy", True, user + q, c), ("question", True, user + q, q), ("own", True, user + q, "应先检查冷却器。"), ("short", False, user + q, "无法确定，资料不足。"), ("none", True, q, "应先检查冷却器。")]
+    df = P.grounded(spark.createDataFrame(rows, "sample_id string, context_sufficiency boolean, user string, assistant string"))
+    eighth = Q.grounding(F.col("answer"), F.col("content_sufficient"), F.col("copied"), F.col("related"))
+    got = {r.sample_id: r for r in df.select("sample_id", "query", eighth.alias("ground"), Q.combined(P._eight()).alias("all"), Q.combined(P._eight()[:6]).alias("six"), Q.query_copy_penalty(F.col("query"), F.col("answer")).alias("copy")).collect()}
+    assert got["copy"].ground == -1.0 and got["short"].ground == 0.0 and got["none"].ground == 0.0 and 0 < got["own"].ground < 1
+    assert got["question"].query == q and got["question"].copy == -1.0 and got["question"]["all"] < got["question"].six
+    assert got["copy"]["all"] == pytest.approx(got["copy"].six - 1, abs=1e-6)

@@ -102,6 +102,12 @@ def context_copy_penalty(context: Column, answer: Column) -> Column:
     return F.when((n == 0) | (m == 0), 0.0).when(c == a, -1.0).when(near & (ratio >= 0.95), -0.8).otherwise(0.0)
 
 
+def grounding(answer: Column, sufficient: Column, copied: Column, related: Column) -> Column:
+    """copied: the least copy penalty of the contexts, related: their greatest relevance; both null without contexts."""
+    use = F.coalesce(sufficient, F.lit(False)) & copied.isNotNull()
+    return F.when(text_of(answer) == "", -1.0).when(~use, 0.0).when(copied < 0, copied).otherwise(related)
+
+
 def requirement_counts(query: Column, answer: Column) -> tuple[Column, Column]:
     """(required, covered)"""
     q, a = F.coalesce(query, F.lit("")), F.lower(F.coalesce(answer, F.lit("")))

@@ -53,15 +53,36 @@ def relevance():
 
 
 def combined_reward(spark, d):
-    """EVL-9 with the token scorer in place of the model, without the two copy rules that SQL cannot state."""
+    """The six rules of EVL-9 that SQL can state, with the token scorer in place of the model. full_reward has all eight."""
     rewards = [Q.basic_quality(_a()), Q.meta_penalty(_a()), Q.repetition_penalty(_a()), Q.completion_reward(_a()), Q.refusal_consistency(_a(), _s()), relevance()]
     return answers(spark, d).select("request_id", Q.combined(rewards).alias("score"))
 
 
 def training_reward(spark, d):
-    """EVL-8, 10: all eight rules with their shares; contexts are the sample's own question side. Rows only."""
-    rewards = [Q.basic_quality(_a()), Q.meta_penalty(_a()), Q.repetition_penalty(_a()), Q.completion_reward(_a()), Q.refusal_consistency(_a(), _s()), relevance(), Q.query_copy_penalty(_q(), _a()), F.least(Q.context_copy_penalty(_q(), _a()), F.lit(0.0))]
-    return answers(spark, d).select("request_id", Q.weighted(rewards).alias("score"))
+    """EVL-10: all eight rules over samples with their shares. Rows only."""
+    return grounded(samples(spark, d)).select("sample_id", Q.weighted(_eight()).alias("score"))
+
+
+def full_reward(spark, d):
+    """EVL-9: all eight rules over samples, whose retrieved material gives the contexts. Rows only."""
+    return grounded(samples(spark, d)).select("sample_id", Q.combined(_eight()).alias("score"))
+
+
+def _eight():
+    return [Q.basic_quality(_a()), Q.meta_penalty(_a()), Q.repetition_penalty(_a()), Q.completion_reward(_a()), Q.refusal_consistency(_a(), _s()), relevance(), Q.query_copy_penalty(_q(), _a()), Q.grounding(_a(), _s(), F.col("copied"), F.col("related"))]
+
+
+def grounded(rows: DataFrame) -> DataFrame:
+    """sample_id, query, answer, content_sufficient, and over the contexts of each sample the least copy penalty and the greatest relevance (EVL-7, 8)."""
+    p = F.split(F.coalesce("user", F.lit("")), "【问题】")
+    blocks = F.split(F.array_join(F.slice(p, 1, F.size(p) - 1), "【问题】"), r"\[source_\d+\]")
+    bare = F.transform(F.slice(blocks, 2, 1_000_000), lambda x: stripped(F.regexp_replace(x, r"(?m)^(?:document_title|chunk_id):.*$", "")))
+    own = ["sample_id", "query", "answer", "content_sufficient"]
+    x = rows.select("sample_id", stripped(F.element_at(p, -1)).alias("query"), F.coalesce("assistant", F.lit("")).alias("answer"), F.col("context_sufficiency").alias("content_sufficient"), F.filter(bare, lambda x: x != "").alias("contexts"))
+    x = x.select(*own, F.explode_outer("contexts").alias("context"))
+    there = F.col("context").isNotNull()
+    x = x.select(*own, F.when(there, Q.context_copy_penalty(F.col("context"), _a())).alias("copied"), F.when(there, F.coalesce(fusion.jaccard(F.col("context"), _a()), F.lit(0.0))).alias("related"))
+    return x.groupBy(*own).agg(F.min("copied").alias("copied"), F.max("related").alias("related"))
 
 
 def overall_quality(spark, d):
@@ -166,7 +187,7 @@ def cited_sources(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    basic_quality, meta_penalty, repetition_penalty, completion_reward, refusal_consistency, requirement_coverage, form_quality, copy_penalty, combined_reward, training_reward, overall_quality,
+    basic_quality, meta_penalty, repetition_penalty, completion_reward, refusal_consistency, requirement_coverage, form_quality, copy_penalty, combined_reward, full_reward, training_reward, overall_quality,
     diagnostics, similarity_forms, memory_need, split_counts, context_counts, index_split, sft_filter, sample_errors, parsed_user, binary_metrics, eval_summary, cited_sources,
 )}
 
