@@ -146,6 +146,21 @@ def test_defects(q, a, want):
     assert defects.defect(q, a, bool(q)) == want
 
 
+LONG = "第三号主变压器在雷雨季节连续运行期间油中溶解气体含量与环境湿度和负荷率之间的相互关系" * 5
+
+
+@pytest.mark.parametrize(
+    "q,a,want",
+    [
+        (Q, f"我手头的材料里查不到{LONG}的相关内容。", "refusal"), (Q, f"我手头的材料里查不到{LONG * 3}的相关内容。", "refusal"), (Q, Q * 6, "copied"), (Q, (Q + "\n\n---\n\n") * 8, "copied"),
+        (Q, Q + ("\n" + "=" * 40) * 12, "copied"), (Q, Q * 2 + LONG, None), (Q, LONG + "。" + Q * 6, None), (Q, f"{LONG}时，材料里查不到的内容应由{LONG}的人员补充。", None),
+    ],
+)
+def test_long_refusals_and_copies(q, a, want):
+    got = defects.defect(q, a, True)
+    assert (got if got in ("refusal", "copied") else None) == want
+
+
 def test_defect_rows(spark):
     t = "2026-01-01 10:00:0"
     rows = [(1, 1, 1, Q, None, "COMPLETED", t + "1", t + "1", "x"), (2, 1, 1, Q, "N/A", " completed", t + "1", t + "1", "x"), (3, 1, 1, Q, None, "FAILED", t + "1", t + "1", "x"), (4, 1, 1, Q, "", "COMPLETED", t + "1", t + "1", "x"), (4, 1, 1, Q, "好的，已更换密封垫并复测合格。", "COMPLETED", t + "1", t + "2", "x"), (None, 1, 1, Q, None, "COMPLETED", t + "1", t + "1", "x")]

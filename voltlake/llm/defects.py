@@ -154,10 +154,20 @@ def common(a: str, b: str) -> int:
 
 
 def is_copy(question: str, answer: str) -> bool:
-    if len(answer) - answer.count(" ") > 3 * len(question) + 80:
+    q = letters(question)
+    if len(q) < 6:
         return False
-    q, a = letters(question), letters(answer)
-    if len(q) < 6 or len(a) < 4 or len(a) > 2.4 * len(q) + 60:
+    if len(answer) > 3 * len(question) + 160:  # a start that is no repetition rules out the whole
+        a, most = letters(answer[: 2 * len(question) + 150])[:-4], max(24, 0.3 * len(q))
+        if len(a) > len(q) + most:
+            covered, qs = bytearray(len(a)), {q[i : i + 3] for i in range(len(q) - 2)}
+            for i in range(len(a) - 2):
+                if a[i : i + 3] in qs:
+                    covered[i : i + 3] = b"\1\1\1"
+            if len(a) - 2 - sum(covered[:-2]) > most:
+                return False
+    a = letters(answer)
+    if len(a) < 4:
         return False
     qs, grams = {q[i : i + 3] for i in range(len(q) - 2)}, [a[i : i + 3] for i in range(len(a) - 2)]
     if len(qs.intersection(grams)) < 0.5 * len(qs):
@@ -198,7 +208,29 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-_TEMPLATE_TOKENS = [(t, "*" in line, set(t)) for line in TEMPLATES for t in [[x for x in _tokens(line) if x != "*"]]]
+def _beside(line: list[str], s: list[str], missing: int) -> int:
+    """The least number of tokens of s outside the slots (*) of the template, if it may lack `missing` of its own; len(s) + 1 if there is no such alignment."""
+    far = len(s) + 1
+
+    def onward(row):  # to the next element of the template without a token: a slot ends, or an element is missing
+        for i, x in enumerate(line):
+            for m in range(missing + 1):
+                to = m + (x != "*")
+                if to <= missing and row[i][m] < row[i + 1][to]:
+                    row[i + 1][to] = row[i][m]
+        return row
+
+    row = onward([[0 if i == m == 0 else far for m in range(missing + 1)] for i in range(len(line) + 1)])
+    for w in s:
+        new = [[x + (i == len(line) or line[i] != "*") for x in row[i]] for i in range(len(line) + 1)]
+        for i, x in enumerate(line):
+            if x == w and x != "*":
+                new[i + 1] = [min(a, b) for a, b in zip(new[i + 1], row[i])]
+        row = onward(new)
+    return min(row[-1])
+
+
+_TEMPLATE_TOKENS = [(t, "*" in line, set(t), _tokens(line)) for line in TEMPLATES for t in [[x for x in _tokens(line) if x != "*"]]]
 
 
 _SENTENCE_END = re.compile(r"[。！!？?\n]+|\.(?=\s|$)|;\s+(?=feel)|，(?=请谅解)")
@@ -207,21 +239,19 @@ _OPENING, _CLOSING = re.compile(OPENINGS, re.I), re.compile(CLOSINGS, re.I)
 
 def refuses(sentence: str) -> bool:
     """The sentence follows a refusal template (nine tenths of its tokens, in order, little beside them) or refuses outright."""
-    if len(sentence) > 160 or not CUE.search(sentence):
+    if not CUE.search(sentence):
         return False
     s = _tokens(sentence)
     have = set(s)
-    for t, slot, kinds in _TEMPLATE_TOKENS:
-        if len(kinds & have) < 0.8 * len(kinds) or len(s) > len(t) + (24 if slot else 4):
+    for t, slot, kinds, line in _TEMPLATE_TOKENS:
+        if len(kinds & have) < 0.8 * len(kinds) or (not slot and len(s) > len(t) + 4):
             continue
-        if _lcs(t, s) >= 0.86 * len(t):
+        if _lcs(t, s) >= 0.86 * len(t) and (len(s) <= len(t) + 24 or _beside(line, s, int(0.14 * len(t))) <= 24):
             return True
     return bool(STRONG.search(sentence))
 
 
 def is_refusal(answer: str) -> bool:
-    if len(answer) > 420:
-        return False
     text = answer.strip().strip("\"'“”「」*_>` ")
     found = False
     for s in _SENTENCE_END.split(text):
