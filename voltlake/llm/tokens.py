@@ -5,7 +5,8 @@ the rank map as a literal. That was built and gave the right ids (README has its
 interpreted and the literals are copied for each use, so it took several times the CPU seconds and more driver memory than there
 are. What stands here keeps the method's parts and changes the engine that folds: each text is cut into words by the tokenizer's pattern,
 each distinct word of a task is folded once by ranked merges over its bytes, with the rank map read from the vocabulary file,
-and texts are put together from their words' ids, in Arrow batches. Nothing is shuffled; the memory of a task is bounded by CACHE words.
+and texts are put together from their words' ids, in Arrow batches. The merging is done by the tokenizer library tiktoken
+(Encoding._encode_single_piece, a private method); fold() here states the same merges plainly and serves to test it. Nothing is shuffled; the memory of a task is bounded by CACHE words.
 
 decode() concatenates the pieces' bytes and reads them as UTF-8.
 
