@@ -35,6 +35,49 @@ def test_limiter(spark):
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: False, 10: True, 11: True, 12: True, 13: False}
 
 
+def fixed_windows(times, most, window):
+    start, n, out = None, 0, []
+    for t in times:
+        if start is None or t - start >= window:
+            start, n = t, 0
+        n += 1
+        out.append(n <= most)
+    return out
+
+
+def test_limiter_of_a_key_that_never_pauses(spark):
+    import random
+
+    rng, rows, want = random.Random(2), [], {}
+    for k in range(3):
+        t, times = 0.0, []
+        for _ in range(1500):
+            t += rng.choice([1.0, 5.0, 30.0, 400.0 if k else 9.0])
+            times.append(t)
+        rows += [(f"k{k}", 10_000 * k + i, x) for i, x in enumerate(times)]
+        want |= {10_000 * k + i: a for i, a in enumerate(fixed_windows(times, 3, 60.0))}
+    df = spark.createDataFrame([*rows, (None, 90_000, 1.0), ("k0", 90_001, None)], "k string, i int, s double")
+    assert {r.i: r.allowed for r in E.limiter(df, "k", "s", "i", 3, 60.0).collect()} == want
+
+
+def test_guard_is_released_by_a_failure(spark):
+    rows = [("t", 1, 0.0, True), ("t", 2, 5.0, False), ("t", 3, 9.0, True), ("t", 4, 700.0, True), ("t", 5, 701.0, False), ("t", 6, 900.0, False), ("u", 7, 3.0, False)]
+    df = spark.createDataFrame(rows, "k string, i int, s double, failed boolean")
+    assert sorted(r.i for r in E.guarded(df, "k", "s", "i", "failed").collect()) == [1, 2, 4, 5, 7]
+
+
+def test_tailed(spark):
+    rows = [("a", 0, "start", "", 7, 1.0), ("a", 1, "error", "e", 7, 2.0), ("a", 2, "done", "", 7, 3.0), ("a", 3, "delta", "late", 7, 4.0), ("b", 0, "start", "", 8, 1.0), ("c", 0, "start", "", 7, 1.0), ("c", 1, "done", "", 7, 700.0)]
+    df = spark.createDataFrame(rows, "task_id string, sequence int, event_type string, content string, user_id long, seconds double")
+    got = sorted((r.task_id, r.sequence, r.event_type) for r in E.tailed(df, 7).collect())
+    assert got == [("a", 0, "start"), ("a", 1, "error"), ("a", 2, "done"), ("b", 0, "error"), ("c", 0, "start"), ("c", 2, "timeout")]
+
+
+def test_retention_time(spark):
+    df = spark.createDataFrame([("t", 1, 10.0), ("t", 2, 400.0), ("old", 1, 50.0)], "task_id string, sequence int, seconds double")
+    assert {r.task_id for r in E.retained(df, now=500.0).collect()} == {"t"}
+
+
 def test_limiter_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(HITS, "k string, i int, s double")
     df.coalesce(1).write.json(str(tmp_path / "in"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltlake.functions.content import has_content, is_completed
 from voltlake.functions.text import fixed_slices, greedy_concat, heading_level, session_name, strip_heading_number, tokens
-from voltlake.operators import etl, fusion, graph, lexical, memory, quality
+from voltlake.operators import etl, fusion, graph, lexical, memory, prompts, quality
 from voltlake.operators.knn import exact_knn
 
 
@@ -67,7 +67,7 @@ def test_merge_keeps_first_of_equal_scores(spark):
 def test_bm25_formula(spark):
     docs = spark.createDataFrame([("d1", "a b b"), ("d2", "a c"), ("d3", None)], "chunk_id string, text string")
     req = spark.createDataFrame([(1, "B"), (2, "zzz"), (3, None)], "request_id long, text string")
-    rows = lexical.match(req, lexical.postings(docs, "chunk_id", ["text"]), "chunk_id", docs).collect()
+    rows = lexical.search(req, docs, "chunk_id", {"c": lexical.Channel({"text": 1.0})}, 5).collect()
     idf = math.log(1 + (3 - 1 + 0.5) / 1.5)
     assert [(r.request_id, r.chunk_id) for r in rows] == [(1, "d1")]
     assert rows[0].score == pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2.5)), abs=1e-6)
@@ -76,7 +76,98 @@ def test_bm25_formula(spark):
 def test_bm25_of_nothing(spark):
     docs = spark.createDataFrame([], "chunk_id string, text string")
     req = spark.createDataFrame([(1, "b")], "request_id long, text string")
-    assert lexical.match(req, lexical.postings(docs, "chunk_id", ["text"]), "chunk_id", docs).count() == 0
+    assert lexical.search(req, docs, "chunk_id", {"c": lexical.Channel({"text": 1.0})}, 5).count() == 0
+
+
+def bm25_plain(requests, docs, boosts, k, share=0.0, grouped=False):
+    """{(request, rank): (key, score)} by the formula, document after document."""
+    out, toks = {}, {d["k"]: {f: (d[f] or "").lower().split() for f in boosts} for d in docs}
+    avg = {f: (lambda n: sum(n) / len(n) if n else 1)([len(t[f]) for t in toks.values() if t[f]]) for f in boosts}
+    for r, g, q in requests:
+        q, scores = set(q.split()), {}
+        for d in docs:
+            if grouped and d["g"] != g:
+                continue
+            best = 0
+            for f, b in boosts.items():
+                t, hit = toks[d["k"]][f], [x for x in q if x in toks[d["k"]][f]]
+                if len(hit) < max(int(len(q) * share), 1):
+                    continue
+                s = 0.0
+                for x in hit:
+                    df = sum(x in y[f] for y in toks.values())
+                    s += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * t.count(x) * 2.2 / (t.count(x) + 1.2 * (0.25 + 0.75 * len(t) / avg[f]))
+                best = max(best, round(round(s, 6) * b, 6))
+            if best > 0:
+                scores[d["k"]] = best
+        for i, (key, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k], 1):
+            out[r, i] = (key, s)
+    return out
+
+
+@pytest.mark.parametrize("share,group,sent", [(0.0, None, 10**6), (0.5, None, 10**6), (0.0, "g", 10**6), (0.0, None, 0), (0.0, "g", 0)])
+def test_search_against_every_document(spark, share, group, sent):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(40)], k=n))
+    docs = [{"k": f"d{i:03d}", "g": i % 3, "a": text(rng.randint(0, 30)), "b": text(5) if i % 4 else None} for i in range(300)]
+    req = [(i, i % 3, " ".join(set(text(6).split()))) for i in range(12)]
+    df = spark.createDataFrame([(d["k"], d["g"], d["a"], d["b"]) for d in docs], "k string, g int, a string, b string").repartition(3)
+    asked = spark.createDataFrame(req, "request_id long, g int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")  # several batches a task, so that earlier ones prune later ones
+    try:
+        boosts = {"a": 1.0, "b": 2.0}
+        rows = lexical.search(asked, df, "k", {"c": lexical.Channel(boosts, share)}, 4, group=group, sent=sent).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r.request_id, r["rank"]): (r.k, r.score) for r in rows}
+    want = bm25_plain(req, docs, boosts, 4, share, bool(group))
+    assert got.keys() == want.keys()
+    assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-5 for x in want)
+
+
+def test_pair_scores_are_those_of_the_search(spark):
+    docs = spark.createDataFrame([("d1", "a b b", None), ("d2", "a c", "b"), ("d3", None, "a b")], "k string, x string, y string")
+    req = spark.createDataFrame([(1, "B a"), (2, "c")], "request_id long, text string")
+    all_hits = {(r.request_id, r.k): r.score for r in lexical.search(req, docs, "k", {"c": lexical.Channel({"x": 1.0, "y": 2.0})}, 9).collect()}
+    named = spark.createDataFrame([(1, "d1"), (1, "d3"), (2, "d1"), (2, "d2")], "request_id long, k string")
+    got = {(r.request_id, r.k): r.score for r in lexical.pair_scores(named, req, docs, "k", {"x": 1.0, "y": 2.0}).collect()}
+    assert got == {x: all_hits[x] for x in [(1, "d1"), (1, "d3"), (2, "d2")]}
+
+
+def test_keyword_pairs_stand_in_the_request(spark):
+    req = spark.createDataFrame([(1, "电压和电流"), (2, "µm 级"), (3, None)], "request_id long, text string")
+    df = spark.createDataFrame([], "tok string, df long")
+    got = {}
+    for r in prompts.keywords(req, df, 10).collect():
+        got.setdefault(r.request_id, set()).add(r.tok)
+    assert got == {1: {"电压", "和", "流"}, 2: {"µm", "级"}}  # the second 电 is no new token, and 和流 stands nowhere
+
+
+def test_take_turns():
+    rows = [(1, 0.9, "a"), (1, 0.8, "b"), (1, 0.7, "c"), (2, 0.9, "a"), (2, 0.5, "d")]
+    assert fusion.take_turns(rows, 9) == [("a", 1), ("d", 2), ("b", 1), ("c", 1)]
+    assert fusion.take_turns([], 4) == []
+
+
+@pytest.mark.parametrize("sent", [10, 0])
+def test_knn_against_brute_force(spark, sent):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    c, q = rng.integers(-2, 3, (80, 4)).astype(float), rng.integers(-2, 3, (5, 4)).astype(float) + 0.5
+    corpus = spark.createDataFrame([(f"c{i:02d}", v.tolist(), i % 2) for i, v in enumerate(c)], "k string, v array<double>, g int").repartition(3)
+    asked = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(q)], "i long, v array<double>, g int")
+    for group in (None, "g"):
+        got = {(int(r.i), r["rank"]): r.k for r in exact_knn(asked, corpus, "i", "v", "k", "v", 3, width=4, group=group, sent=sent).collect()}
+        for i, v in enumerate(q):
+            n = np.linalg.norm(c, axis=1)
+            cos = np.round((c @ v) / np.where(n > 0, n, 1) / np.linalg.norm(v), 6)
+            ok = [j for j in range(80) if n[j] > 0 and (not group or j % 2 == i % 2)]
+            best = sorted(ok, key=lambda j: (-cos[j], j))[:3]
+            assert [got[i, r] for r in (1, 2, 3)] == [f"c{j:02d}" for j in best]
 
 
 def test_knn_edges(spark):

@@ -52,11 +52,11 @@ TITLE_PHRASES = ["请问", "请介绍一下", "介绍一下", "讲一下", "什
 
 
 def clean_title_query(query: Column) -> Column:
-    """Punctuation, white space and stock phrases off; the query itself if nothing is left."""
-    out = F.regexp_replace(query, r"[\p{P}\p{S}\s\x{3000}]+", "")
+    """End signs, commas, colons, white space and stock phrases off; the trimmed query itself if nothing is left."""
+    out = F.regexp_replace(query, r"[？?！!，,。；;：:\s\x{3000}]+", "")
     for p in TITLE_PHRASES:
         out = F.replace(out, F.lit(p), F.lit(""))
-    return F.when(out == "", query).otherwise(out)
+    return F.when(out == "", stripped(query)).otherwise(out)
 
 
 def session_name(question: Column, limit: int = 30) -> Column:

@@ -1,8 +1,11 @@
 """Exact nearest neighbours of a stated query set, in blocks.
 
-Queries and corpus are packed into blocks of about BLOCK vectors; each pair of blocks is one matrix product in a task, which passes on only
-the k best of each query. With a group column, blocks of a group meet only blocks of the same group. Unusable vectors
-(null, other width, not finite, all zero) take no part; ties go by id."""
+The corpus stays where it is scanned: each Arrow batch of it meets the queries in matrix products of BLOCK queries, and a task passes on only the k
+best of each query. Queries are sent to the executors if they are at most SENT (counted first); beyond, packs of queries meet slices of the corpus by
+an equi-join on the slice's number. With a group column, a query meets only vectors of its group.
+
+Defined cases: unusable vectors (null, other width, not finite, all zero) and null keys take no part; ties go by id (as strings); empty
+tables give no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -12,58 +15,122 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+BLOCK, SENT, SLICES = 1024, 50_000, 64
+
+
+def _rows(df: DataFrame, key: str, vector: str, width: int, group: str | None) -> DataFrame:
+    grp = F.col(group).cast("string") if group else F.lit("")
+    return df.filter(F.col(key).isNotNull() & (F.size(vector) == width) & grp.isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<double>").alias("v"), grp.alias("g"))
+
+
+def _matrix(ids, vectors, groups, width: int):
+    """(ids, unit vectors, groups) of the usable rows of Arrow columns, ordered by group and id."""
+    import numpy as np
+
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    names, g = np.array(ids.to_pylist(), str), np.array(groups.to_pylist(), str)
+    n = np.sqrt((m * m).sum(1))
+    ok = np.isfinite(n) & (n > 0)
+    names, m, g = names[ok], m[ok] / n[ok][:, None], g[ok]
+    order = np.lexsort((names, g))
+    return names[order], m[order], g[order]
+
+
+def _ranges(g):
+    import numpy as np
+
+    heads = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
+    return {str(g[a]): (int(a), int(b)) for a, b in zip(heads, np.r_[heads[1:], len(g)])}
+
+
+def _nearest(best: dict, queries, corpus, k: int) -> None:
+    """Keeps the k best (cosine, id) of each query in best: {(group, first query): (ids, cosines, names)}."""
+    import numpy as np
+
+    qi, qv, qg = queries
+    mi, mv, mg = corpus
+    there = _ranges(mg)
+    for g, (qa, qb) in _ranges(qg).items():
+        if g not in there:
+            continue
+        a, b = there[g]
+        for s in range(qa, qb, BLOCK):
+            e = min(qb, s + BLOCK)
+            cos = np.round(qv[s:e] @ mv[a:b].T, 6)
+            if b - a > k:
+                kth = np.partition(cos, b - a - k, axis=1)[:, b - a - k]
+                rows, cols = np.nonzero(cos >= kth[:, None])
+                order = np.lexsort((cols, -cos[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                first = np.searchsorted(rows, np.arange(e - s))
+                cols = cols[first[:, None] + np.arange(k)]
+            else:
+                cols = np.argsort(-cos, axis=1, kind="stable")
+            near, names = np.take_along_axis(cos, cols, 1), mi[a:b][cols]
+            slot = (g, qi[s])
+            if slot in best:
+                _, c0, n0 = best[slot]
+                near, names = np.hstack([c0, near]), np.hstack([n0, names])
+                order = np.lexsort((names, -near), axis=1)[:, :k]
+                near, names = np.take_along_axis(near, order, 1), np.take_along_axis(names, order, 1)
+            best[slot] = (qi[s:e], near, names)
 
 
-def exact_knn(queries: DataFrame, corpus: DataFrame, query_key: str, query_vector: str, corpus_key: str, corpus_vector: str, k: int, width: int = 64, group: str | None = None) -> DataFrame:
+def exact_knn(queries: DataFrame, corpus: DataFrame, query_key: str, query_vector: str, corpus_key: str, corpus_vector: str, k: int, width: int = 64, group: str | None = None, sent: int = SENT) -> DataFrame:
     """query_key, corpus_key (strings), cosine (rounded to 6), rank. With group, a column of both sides, only rows of equal group are compared."""
-    q, _ = _packed(queries, query_key, query_vector, width, group)
-    c, parts = _packed(corpus, corpus_key, corpus_vector, width, group)
-    # every query block meets every corpus block of its group once, by an equi-join on the corpus block's number
-    if group:
-        asked = q.join(parts, "g")
+    q, c = _rows(queries, query_key, query_vector, width, group), _rows(corpus, corpus_key, corpus_vector, width, group)
+    n = q.count()
+
+    def scan(pairs_of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            best: dict = {}
+            for b in batches:
+                for asked, table in pairs_of(b):
+                    _nearest(best, asked, _matrix(table.column("k"), table.column("v"), table.column("g"), width), k)
+            for ids, near, names in best.values():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, near.shape[1]).tolist(), pa.string()), pa.array(names.ravel().tolist(), pa.string()), pa.array(near.ravel())], names=["q", "m", "cosine"])
+
+        return run
+
+    schema = "q string, m string, cosine double"
+    if n <= sent:
+        table = q.toArrow()  # at most `sent` vectors
+        asked = c.sparkSession.sparkContext.broadcast(_matrix(table.column("k"), table.column("v"), table.column("g"), width))
+        found = c.mapInArrow(scan(lambda b: [(asked.value, b)]), schema)
     else:
-        asked = q.withColumn("parts", F.lit(parts))
-    asked = asked.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
-    pairs = asked.join(c.select("g", "slice", F.col("ids").alias("m_ids"), F.col("v").alias("m_v")), ["g", "slice"]).select("q_ids", "q_v", "m_ids", "m_v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        def matrix(ids, v):
-            names = np.array(ids.values.to_pylist(), object)
-            m = v.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-            n = np.sqrt((m * m).sum(1))
-            ok = np.isfinite(n) & (n > 0)
-            return names[ok], m[ok] / n[ok][:, None]
-
-        for b in batches:
-            for i in range(b.num_rows):
-                qi, qv = matrix(b.column(0)[i], b.column(1)[i])
-                mi, mv = matrix(b.column(2)[i], b.column(3)[i])
-                if not len(qi) or not len(mi):
-                    continue
-                order = np.argsort(mi.astype(str), kind="stable")
-                mi, mv = mi[order], mv[order]
-                for s in range(0, len(qi), BLOCK):
-                    cos = np.round(qv[s : s + BLOCK] @ mv.T, 6)
-                    best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-                    rows = np.repeat(np.arange(len(cos)), best.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[s + rows], pa.string()), pa.array(mi[best.ravel()], pa.string()), pa.array(cos[rows, best.ravel()])], names=["q", "m", "cosine"])
-
-    found = pairs.mapInArrow(run, "q string, m string, cosine double")
+        found = _joined(q, c, -(-n // BLOCK)).mapInArrow(scan(lambda b: _opened(b, width)), schema)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "m"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("m").alias(corpus_key), "cosine", "rank")
 
 
-def _packed(df: DataFrame, key: str, vector: str, width: int, group: str | None):
-    """(g, slice, ids, v: the vectors one after the other), and the number of slices: a table by group, or a number."""
-    rows = df.filter(F.col(key).isNotNull() & (F.size(vector) == width)).select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(group) if group else F.lit(0)).alias("g"))
-    if group:
-        parts = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-        rows = rows.join(parts, "g")
-    else:
-        parts = max(1, -(-rows.count() // BLOCK))
-        rows = rows.withColumn("parts", F.lit(parts))
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
-    return rows.groupBy("g", "slice").agg(F.collect_list("k").alias("ids"), F.flatten(F.collect_list("v")).alias("v")), parts
+def _opened(b: pa.RecordBatch, width: int):
+    for x, y in zip(b.column(0), b.column(1)):
+        asked = pa.ipc.open_stream(y.as_buffer()).read_all()
+        yield _matrix(asked.column("k"), asked.column("v"), asked.column("g"), width), pa.ipc.open_stream(x.as_buffer()).read_all()
+
+
+def _joined(q: DataFrame, c: DataFrame, packs: int) -> DataFrame:
+    """corpus, asked (Arrow streams): each slice of the corpus with each pack of queries, by an equi-join on the slice's number."""
+
+    def blob(table: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as w:
+            w.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() * 31
+        for i, b in enumerate(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([(at + i) % SLICES], pa.int32()), pa.array([blob(pa.Table.from_batches([b]))], pa.binary())], names=["slice", "corpus"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        return pa.table({"asked": pa.array([blob(table)], pa.binary())})
+
+    p = q.withColumn("pack", F.pmod(F.xxhash64("k"), F.lit(packs))).groupBy("pack").applyInArrow(packed, "asked binary")
+    p = p.select("asked", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    return c.mapInArrow(sliced, "slice int, corpus binary").join(p, "slice").select("corpus", "asked")

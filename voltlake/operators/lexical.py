@@ -1,53 +1,314 @@
-"""BM25 over postings: requests and documents meet on tokens, never pair by pair.
+"""Exact BM25: requests and documents meet in blocks, and only the best hits of a block leave it.
 
-postings(): one row for each (document, field, token). match() joins the requests' distinct tokens to them, scores and sums.
-Document frequencies are counted over all documents. Empty fields have no postings; a request without tokens has no hits; ties go by document id."""
+search() makes two passes over the documents. The first counts document frequencies and lengths (aggregated before the shuffle). In the second each
+Arrow batch of documents becomes a small inverted index, and each request is scored against it term by term; a request's running k-th
+best score prunes later batches: terms that cannot lift a document to it are only looked up for documents that the other terms bring near it (max-score),
+which changes no result. Documents are never shuffled and no (request, document) row is made for a token.
+
+The requests are sent to the executors if they have at most SENT terms (counted first); beyond, packs of requests meet slices of documents by an
+equi-join on the slice's number.
+
+Defined cases: null and empty fields have no tokens; a request without tokens has no hits; documents without key take no part; a key that stands in
+several rows counts as several documents; ties go by key; empty tables give no rows; other columns are ignored."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.functions.text import tokens
 
 K1, B = 1.2, 0.75
+SENT, PACK, SLICES = 2_000_000, 200_000, 64  # terms sent at once, terms of a pack, slices of documents beside packs
+
+
+@dataclass(frozen=True)
+class Channel:
+    """Fields with their boosts (the best counts), the least share of the request's tokens in one field, and the boost of the request's keywords."""
+
+    boosts: dict[str, float]
+    share: float = 0.0
+    keywords: float = 0.0
+
+
+@dataclass
+class Terms:
+    """Requests as flat arrays: terms of request i are from[i] to from[i + 1]."""
+
+    ids: list
+    groups: list
+    asked: object
+    start: object
+    term: object
+    field: object
+    idf: object
+    plain: object
+    key: object
+    vocabulary: list = field(default_factory=list)
+
+
+def statistics(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """field, tok, df, total: document frequency of each token; the empty token has the documents with tokens and the sum of their lengths."""
+    return _counted(docs.select(*[tokens(F.col(f)).alias(f) for f in fields]), fields)
+
+
+def _counted(tokenised: DataFrame, fields: list[str]) -> DataFrame:
+    def entry(f: str, tok: Column, n: Column) -> Column:
+        return F.struct(F.lit(f).alias("field"), tok.alias("tok"), n.cast("bigint").alias("n"))
+
+    def entries(f: str) -> Column:
+        return F.concat(F.array(entry(f, F.lit(""), F.size(f))), F.transform(F.array_distinct(f), lambda t: entry(f, t, F.lit(1))))
+
+    rows = F.concat(*[entries(f) for f in fields])
+    flat = tokenised.select(F.explode(rows).alias("r")).select("r.*")
+    return flat.groupBy("field", "tok").agg(F.count_if(F.col("n") > 0).alias("df"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
+
+
+def asked_tokens(requests: DataFrame) -> DataFrame:
+    """request_id, tok, plain, key: distinct tokens of the text (plain = 1) and of the keywords (key = 1)."""
+    def side(c: str, plain: float, key: float) -> Column:
+        return F.transform(F.array_distinct(tokens(F.col(c))), lambda t: F.struct(t.alias("tok"), F.lit(plain).alias("plain"), F.lit(key).alias("key")))
+
+    parts = [side("text", 1.0, 0.0)] + ([side("keywords", 0.0, 1.0)] if "keywords" in requests.columns else [])
+    flat = requests.select("request_id", F.explode(F.concat(*parts)).alias("r")).select("request_id", "r.*")
+    return flat.groupBy("request_id", "tok").agg(F.max("plain").alias("plain"), F.max("key").alias("key"))
+
+
+def weighted_terms(asked: DataFrame, stats: DataFrame, n: int) -> DataFrame:
+    """request_id, field, tok, plain, key, idf of the asked tokens that some document has."""
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return asked.join(stats.filter("tok <> ''").select("field", "tok", idf.alias("idf")), "tok")
+
+
+def _terms(table: pa.Table, fields: list[str]) -> Terms:
+    """A table (request_id, grp, asked, tok, field, idf, plain, key) ordered by request as Terms."""
+    import numpy as np
+
+    ids = table.column("request_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    table, ids = table.take(pa.array(order)), ids[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, int)
+    toks = table.column("tok").combine_chunks().dictionary_encode()
+    toks = toks.combine_chunks() if isinstance(toks, pa.ChunkedArray) else toks
+    names = {f: i for i, f in enumerate(fields)}
+    return Terms(
+        ids=ids[first].tolist(), groups=table.column("grp").take(pa.array(first)).to_pylist(), asked=table.column("asked").to_numpy()[first], start=np.r_[first, len(ids)],
+        term=toks.indices.to_numpy(zero_copy_only=False), field=np.array([names[f] for f in table.column("field").to_pylist()], np.int32), idf=table.column("idf").to_numpy(),
+        plain=table.column("plain").to_numpy(), key=table.column("key").to_numpy(), vocabulary=toks.dictionary.to_pylist(),
+    )
+
+
+class _Best:
+    """The k best (score, key) of each request and channel so far."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, {}
+
+    def least(self, slot) -> float:
+        have = self.rows.get(slot, ())
+        return -have[-1][0] if len(have) >= self.k else 0.0
+
+    def add(self, slot, scores, keys) -> None:
+        have = self.rows.get(slot, [])
+        self.rows[slot] = sorted([*have, *zip((-scores).tolist(), keys)])[: self.k]
+
+
+def _score(batch: pa.RecordBatch, t: Terms, fields: list[str], average: dict[str, float], channels: dict[str, Channel], best: _Best) -> None:
+    """Scores a batch (key, grp, tokens of each field) against the requests and keeps the best."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows or not t.ids:
+        return
+    keys = np.array(batch.column(0).to_pylist(), object)
+    groups = np.array([repr(g) for g in batch.column(1).to_pylist()], object)
+    order = np.lexsort((keys.astype(str), groups.astype(str)))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    keys, groups = keys[order], groups[order]
+    heads = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    ranges = {groups[a]: (int(a), int(b)) for a, b in zip(heads, np.r_[heads[1:], len(groups)])}
+    vocabulary, lists = pa.array(t.vocabulary, pa.string()), []
+    for i, f in enumerate(fields):
+        column = batch.column(2 + i)
+        flat, lengths = column.flatten(), np.diff(column.offsets.to_numpy())
+        code = pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(place, lengths)
+        known = code >= 0
+        pair, tf = np.unique(code[known] * len(keys) + doc[known], return_counts=True)
+        code, doc = pair // len(keys), pair % len(keys)
+        size = np.zeros(len(keys))
+        size[place] = lengths
+        w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(average.get(f, 1.0), 1e-9)))
+        starts = np.searchsorted(code, np.arange(len(t.vocabulary) + 1))
+        top = np.zeros(len(t.vocabulary))
+        if len(w):
+            some = starts[1:] > starts[:-1]
+            top[some] = np.maximum.reduceat(w, starts[:-1][some])
+        lists.append((doc, w, starts, top, len(keys)))
+    for r in range(len(t.ids)):
+        a, b = ranges.get(repr(t.groups[r]), (0, 0))
+        if a == b:
+            continue
+        terms = range(t.start[r], t.start[r + 1])
+        for name, c in channels.items():
+            slot, total = (t.ids[r], name), None
+            least = best.least(slot)
+            for f, boost in c.boosts.items():
+                one = _field_scores(lists[fields.index(f)], fields.index(f), terms, t, c, a, b, (least - 1e-5) / boost - 1e-5 if least > 0 else 0.0, r)
+                if one is not None:
+                    one = np.round(np.round(one, 6) * boost, 6)
+                    total = one if total is None else np.maximum(total, one)
+            if total is None:
+                continue
+            hit = np.flatnonzero((total > 0) & (total >= least))
+            if len(hit) > best.k:
+                kth = np.partition(total[hit], len(hit) - best.k)[len(hit) - best.k]
+                hit = hit[total[hit] >= kth][: 1 << 62]
+                hit = hit[np.lexsort((hit, -total[hit]))[: best.k]]
+            if len(hit):
+                best.add(slot, total[hit], keys[a + hit].tolist())
+
+
+def _field_scores(lists, number: int, terms, t: Terms, c: Channel, a: int, b: int, least: float, r: int):
+    """Scores of the documents a to b in one field, zero where they are not above least or match too little; None without a match."""
+    import numpy as np
+
+    doc, w, starts, top, n = lists
+    whole, found = b - a == n, []
+    for j in terms:
+        if t.field[j] != number:
+            continue
+        q = t.idf[j] * (t.plain[j] + c.keywords * t.key[j])
+        s, e = starts[t.term[j]], starts[t.term[j] + 1]
+        if e > s and not whole:
+            s, e = s + np.searchsorted(doc[s:e], a), s + np.searchsorted(doc[s:e], b)
+        if e > s and q > 0:
+            found.append((q * top[t.term[j]], q, s, e, t.plain[j]))
+    if not found:
+        return None
+    found.sort(key=lambda x: x[0])
+    skip, bound = 0, 0.0
+    if least > 0 and not c.share:
+        while skip < len(found) and bound + found[skip][0] < least:
+            bound += found[skip][0]
+            skip += 1
+        if skip == len(found):
+            return None
+    now = found[skip:]
+    at = np.concatenate([doc[s:e] for _, _, s, e, _ in now]) - a
+    out = np.bincount(at, weights=np.concatenate([q * w[s:e] for _, q, s, e, _ in now]), minlength=b - a)
+    if skip:
+        near = np.flatnonzero(out + bound >= least)
+        near = near[out[near] > 0]
+        kept = np.zeros(b - a)
+        kept[near] = out[near]
+        for _, q, s, e, _ in found[:skip]:
+            x = np.searchsorted(doc[s:e], near + a)
+            x[x == e - s] = 0
+            same = doc[s:e][x] == near + a
+            kept[near[same]] += q * w[s:e][x[same]]
+        return kept
+    if c.share:
+        plain = [doc[s:e] for _, _, s, e, p in now if p > 0]
+        matched = np.bincount(np.concatenate(plain) - a, minlength=b - a) if plain else np.zeros(b - a)
+        out[matched < max(np.floor(t.asked[r] * c.share), 1)] = 0
+    return out
+
+
+def search(requests: DataFrame, docs: DataFrame, key: str, channels: dict[str, Channel], k: int, group: str | None = None, stats: DataFrame | None = None, sent: int = SENT) -> DataFrame:
+    """request_id, channel, key, score (rounded to 6), rank: the k best documents of each request in each channel.
+
+    requests: request_id, text, and keywords (a text) if a channel boosts them. With group, a column of both sides, a request meets only documents of
+    its group; document frequencies are those of all documents. stats: statistics() of these documents and fields (or more), if they are there already."""
+    fields = list(dict.fromkeys(f for c in channels.values() for f in c.boosts))
+    tokenised = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), (F.col(group).cast("string") if group else F.lit("")).alias("grp"), *[tokens(F.col(f)).alias(f) for f in fields])
+    stats = (_counted(tokenised, fields) if stats is None else stats).filter(F.col("field").isin(fields))
+    lengths = stats.filter("tok = ''").collect()  # one row a field
+    n = max([r["rows"] for r in lengths], default=0)
+    average = {r["field"]: r["total"] / r["df"] for r in lengths if r["df"]}
+    asked = asked_tokens(requests)
+    wanted = requests.select("request_id", (F.col(group).cast("string") if group else F.lit("")).alias("grp"), F.size(F.array_distinct(tokens(F.col("text")))).alias("asked")).filter("grp is not null")
+    total = len(fields) * (wanted.agg(F.sum("asked")).first()[0] or 0)
+    flat = weighted_terms(asked, stats, n).join(wanted, "request_id")
+
+    def scan(docs_of, terms_of):
+        """A function for mapInArrow; docs_of and terms_of take a row's batch apart."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(k)
+            for b in batches:
+                for d, t in zip(docs_of(b), terms_of(b)):
+                    _score(d, t, fields, average, channels, best)
+            rows = [(*slot, key, -s) for slot, have in best.rows.items() for s, key in have]
+            for i in range(0, len(rows), 50_000):
+                part = list(zip(*rows[i : i + 50_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.string()), pa.array(part[2], pa.string()), pa.array(part[3], pa.float64())], names=["request_id", "channel", "key", "score"])
+
+        return run
+
+    schema = "request_id bigint, channel string, key string, score double"
+    if total <= sent:
+        terms = docs.sparkSession.sparkContext.broadcast(_terms(flat.toArrow(), fields))  # at most `sent` terms
+        found = tokenised.mapInArrow(scan(lambda b: [b], lambda b: [terms.value]), schema)
+    else:
+        found = _joined(tokenised, flat, fields, -(-total // PACK)).mapInArrow(
+            scan(lambda b: (pa.ipc.open_stream(x.as_buffer()).read_all().combine_chunks().to_batches()[0] for x in b.column(0)), lambda b: (_terms(pa.ipc.open_stream(x.as_buffer()).read_all(), fields) for x in b.column(1))), schema
+        )
+    rank = F.row_number().over(Window.partitionBy("request_id", "channel").orderBy(F.desc("score"), "key"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("key", key)
+
+
+def _joined(tokenised: DataFrame, flat: DataFrame, fields: list[str], packs: int) -> DataFrame:
+    """docs, terms (Arrow streams): each slice of documents with each pack of requests, by an equi-join on the slice's number."""
 
+    def blob(table: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as w:
+            w.write_table(table)
+        return sink.getvalue().to_pybytes()
 
-def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """key, field, tok, tf, dl."""
-    fielded = docs.select(key, F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.coalesce(F.col(f), F.lit("")))])).alias("field", "text"))
-    toks = fielded.select(key, "field", tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
-    return toks.select(key, "field", "dl", F.explode("toks").alias("tok")).groupBy(key, "field", "tok").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        at = TaskContext.get().partitionId() * 31
+        for i, b in enumerate(batches):
+            for j in range(0, b.num_rows, 1000):
+                yield pa.RecordBatch.from_arrays([pa.array([(at + i + j // 1000) % SLICES], pa.int32()), pa.array([blob(pa.Table.from_batches([b.slice(j, 1000)]))], pa.binary())], names=["slice", "docs"])
 
-def match(requests: DataFrame, posts: DataFrame, key: str, docs: DataFrame) -> DataFrame:
-    """request_id, key, field, score, matched, asked: BM25 sum, distinct tokens matched and asked, for each field.
+    def packed(table: pa.Table) -> pa.Table:
+        return pa.table({"terms": pa.array([blob(table)], pa.binary())})
 
-    docs are those of the postings; the number of documents counts also those without tokens."""
-    asked = requests.select("request_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok"))
-    n_asked = asked.groupBy("request_id").agg(F.count(F.lit(1)).alias("asked"))
-    # one row for each (document, field): the documents with tokens in a field have an average length
-    lengths = posts.select(key, "field", "dl").distinct().groupBy("field").agg(F.avg("dl").alias("avgdl"))
-    df = posts.groupBy("field", "tok").agg(F.count(F.lit(1)).alias("df"))
-    fields = [r.field for r in posts.select("field").distinct().collect()]  # the few field names
-    counts = docs.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*[F.lit(f) for f in fields] or [F.lit("")])).alias("field"), "n")
-    stats = df.join(F.broadcast(lengths), "field").join(F.broadcast(counts), "field")  # a row for each field
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = posts.join(stats.select("field", "tok", "df", "avgdl", "n"), ["field", "tok"]).select(F.xxhash64(key).alias("_doc"), "field", "tok", weight.alias("w"))
-    hits = asked.join(scored, "tok").groupBy("request_id", "_doc", "field").agg(F.round(F.sum("w"), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
-    # the many sums are kept by a number, the key comes back afterwards
-    return hits.join(n_asked, "request_id").join(docs.select(key, F.xxhash64(key).alias("_doc")).distinct(), "_doc").drop("_doc")
+    d = tokenised.mapInArrow(sliced, "slice int, docs binary")
+    p = flat.withColumn("pack", F.pmod(F.xxhash64("request_id"), F.lit(packs))).groupBy("pack").applyInArrow(packed, "terms binary")
+    p = p.select("terms", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    return d.join(p, "slice").select("docs", "terms")
 
 
-def best_fields(hits: DataFrame, key: str, boosts: dict[str, float], least_share: float = 0.0) -> DataFrame:
-    """request_id, key, score: the best boosted field; with least_share, only fields that match that share of the tokens, rounded down."""
+def pair_scores(pairs: DataFrame, requests: DataFrame, docs: DataFrame, key: str, boosts: dict[str, float]) -> DataFrame:
+    """request_id, key, score of the given pairs (request_id, key) only: the best boosted field. Frequencies are those of all documents."""
+    fields = list(boosts)
+    rows = docs.filter(F.col(key).isNotNull()).select(key, *[tokens(F.col(f)).alias(f) for f in fields])
+    stats = _counted(rows, fields)
+    lengths = stats.filter("tok = ''").collect()  # one row a field
+    n = max([r["rows"] for r in lengths], default=0)
+    average = F.coalesce(*[F.when(F.col("field") == r["field"], F.lit(r["total"] / r["df"])) for r in lengths if r["df"]], F.lit(1.0))
+    named = rows.join(pairs.select(key).distinct(), key, "left_semi")
+    sides = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("toks")) for f in fields])
+    posts = named.select(key, F.explode(sides).alias("s")).select(key, "s.field", F.size("s.toks").alias("dl"), F.explode("s.toks").alias("tok")).groupBy(key, "field", "tok").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    terms = weighted_terms(asked_tokens(requests.select("request_id", "text")), stats, n).select("request_id", "field", "tok", "idf")
+    met = pairs.select("request_id", key).distinct().join(posts, key).join(terms, ["request_id", "field", "tok"])
+    w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
+    s = met.groupBy("request_id", key, "field").agg(F.round(F.sum(w), 6).alias("s"))
     boost = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(b))) for f, b in boosts.items()])
-    kept = hits.filter(F.col("field").isin(*boosts) & (F.col("matched") >= F.greatest(F.floor(F.col("asked") * least_share), F.lit(1))))
-    return kept.groupBy("request_id", key).agg(F.round(F.max(F.col("score") * boost), 6).alias("score"))
+    return s.groupBy("request_id", key).agg(F.round(F.max(F.col("s") * boost), 6).alias("score"))
 
 
-def top(hits: DataFrame, key: str, k: int, group: tuple[str, ...] = ("request_id",)) -> DataFrame:
+def top(hits: DataFrame, key: str, k: int, group: tuple[str, ...] = ("request_id",), ties: tuple[Column | str, ...] = ()) -> DataFrame:
     """The k best of each group with their rank; Spark limits each partition before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), key))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), *ties, key))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)

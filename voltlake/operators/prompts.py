@@ -14,18 +14,19 @@ IGNORED = ["什么", "什么是", "怎么", "如何", "请问", "一下", "介
 def clean_token(token: Column) -> Column:
     """Piece marks off, and edges that are no word signs."""
     bare = F.trim(F.replace(F.replace(token, F.lit("▁"), F.lit("")), F.lit("</w>"), F.lit("")))
-    return F.regexp_replace(bare, r"^[\W_&&[^\x{4e00}-\x{9fff}\x{00c0}-\x{024f}]]+|[\W_&&[^\x{4e00}-\x{9fff}\x{00c0}-\x{024f}]]+$", "")
+    return F.regexp_replace(bare, r"(?U)^[\W_]+|[\W_]+$", "")
 
 
-def merged_tokens(weighted: Column) -> Column:
-    """Single Han signs that stand side by side in an array<struct<tok, w>> become pairs, the greater weight stays; others pass. A fold over one request."""
+def merged_tokens(weighted: Column, text: Column) -> Column:
+    """Neighbours in an array<struct<tok, w>> that are single Han signs and stand side by side in the text become a pair of the greater weight; others
+    pass. A pair takes part in no other pair. A fold over one request."""
     han = lambda t: (F.length(t) == 1) & t.rlike(r"[\x{4e00}-\x{9fff}]")
     kind = "array<struct<tok: string, w: double>>"
     start = F.struct(F.array().cast(kind).alias("done"), F.array().cast(kind).alias("open"))
 
     def add(s: Column, x: Column) -> Column:
         prev = F.get(s["open"], 0)
-        join = prev.isNotNull() & han(prev["tok"]) & han(x["tok"])
+        join = prev.isNotNull() & han(prev["tok"]) & han(x["tok"]) & text.contains(F.concat(prev["tok"], x["tok"]))
         pair = F.struct(F.concat(prev["tok"], x["tok"]).alias("tok"), F.greatest(prev["w"], x["w"]).alias("w"))
         none = F.array().cast(kind)
         return F.when(F.coalesce(join, F.lit(False)), F.struct(F.concat(s["done"], F.array(pair)).alias("done"), none.alias("open"))).otherwise(F.struct(F.concat(s["done"], s["open"]).alias("done"), F.array(x).alias("open")))
@@ -34,17 +35,27 @@ def merged_tokens(weighted: Column) -> Column:
 
 
 def keywords(requests: DataFrame, frequencies: DataFrame, n_docs: int, topk: int = 8, least: float = 0.05) -> DataFrame:
-    """request_id, tok, weight: the topk keywords by inverse document frequency, scaled to at most 1 (tok, df of frequencies); pairs of Han signs are merged."""
-    t = requests.select("request_id", F.posexplode(F.array_distinct(tokens(F.col("text")))).alias("pos", "tok")).filter(~F.col("tok").isin(*IGNORED))
-    idf = F.log(1 + F.lit(float(n_docs)) / F.coalesce(F.col("df"), F.lit(1))) / F.lit(__import__("math").log(1 + n_docs) or 1.0)
-    w = t.join(frequencies, "tok", "left").select("request_id", "pos", "tok", F.round(idf, 6).alias("w")).filter(F.col("w") >= least)
-    one = w.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "w"))).alias("a"))  # the distinct tokens of one request
-    merged = one.select("request_id", F.explode(merged_tokens(F.transform("a", lambda x: F.struct(x["tok"].alias("tok"), x["w"].alias("w"))))).alias("x"))
-    best = merged.groupBy("request_id", F.col("x.tok").alias("tok")).agg(F.max("x.w").alias("weight"))
+    """request_id, tok, weight, rank: the topk keywords by inverse document frequency, scaled to at most 1 (tok, df of frequencies). Neighbouring Han signs
+    that stand so in the request are merged."""
+    import math
+
+    t = requests.select("request_id", F.lower("text").alias("text"), F.posexplode(F.array_distinct(tokens(F.col("text")))).alias("pos", "tok"))
+    t = t.withColumn("tok", clean_token(F.col("tok"))).filter((F.col("tok") != "") & ~F.col("tok").isin(*IGNORED))
+    idf = F.log(1 + F.lit(float(n_docs)) / F.coalesce(F.col("df"), F.lit(1))) / F.lit(math.log(1 + n_docs) or 1.0)
+    w = t.join(frequencies, "tok", "left").select("request_id", "text", "pos", "tok", F.round(idf, 6).alias("w")).filter(F.col("w") >= least)
+    one = w.groupBy("request_id").agg(F.max("text").alias("text"), F.array_sort(F.collect_list(F.struct("pos", "tok", "w"))).alias("a"))  # the distinct tokens of one request
+    pairs = merged_tokens(F.transform("a", lambda x: F.struct(x["tok"].alias("tok"), x["w"].alias("w"))), F.col("text"))
+    best = one.select("request_id", F.explode(pairs).alias("x")).groupBy("request_id", F.col("x.tok").alias("tok")).agg(F.max("x.w").alias("weight"))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("weight"), "tok"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= topk)
 
 
+def with_keywords(requests: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds keywords, the request's keywords in one text (null without any)."""
+    text = words.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tok"))).alias("a")).select("request_id", F.array_join(F.col("a.tok"), " ").alias("keywords"))
+    return requests.join(text, "request_id", "left")
+
+
 def joined_answers(rows: DataFrame, key: str, order: str, answer: str, separator: str = "\n\n\n") -> DataFrame:
     """key, answer: non-blank answers in order, joined. For groups that are one request's answers."""
     kept = rows.filter(stripped(F.coalesce(answer, F.lit(""))) != "")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.functions import vectors as V
+from voltlake.functions.content import is_completed
 from voltlake.functions.text import session_name as name_of
 from voltlake.functions.text import stripped
+from voltlake.operators import fusion, lexical
 from voltlake.operators import graph as G
-from voltlake.operators import lexical
 from voltlake.operators import memory as M
 from voltlake.operators.knn import exact_knn
 from voltlake.plans.base import CHATS_SQL, MEMORY_SQL, REQUESTS_SQL, bm25_sql, chats, memory, request_vectors, requests
@@ -55,8 +56,10 @@ def session_names(spark, d):
 def sessions_of_user(spark, d):
     """SQL-8, FUS-22: one row a session, newest first, nulls last."""
     s = table(spark, d, "llm_session_table").filter("session_id is not null").groupBy("session_id").agg(*[F.max(c).alias(c) for c in ("user_id", "session_name", "create_time", "update_time")])
-    w = F.row_number().over(M.Window.partitionBy("user_id").orderBy(F.col("update_time").desc_nulls_last(), F.col("create_time").desc_nulls_last(), F.desc("session_id")))
-    return s.select("user_id", w.alias("pos"), "session_id", "session_name")
+    # numbered in two levels by the day of the last change, newest first; those without one come last
+    seconds = F.coalesce(-F.unix_timestamp(F.col("update_time").cast("timestamp")), F.lit(1 << 40))
+    order = [F.col("update_time").desc_nulls_last(), F.col("create_time").desc_nulls_last(), F.desc("session_id")]
+    return M.numbered(s.withColumn("_s", seconds), ["user_id"], order, "_s", "pos").select("user_id", F.col("pos").cast("int").alias("pos"), "session_id", "session_name")
 
 
 def ownership(spark, d):
@@ -85,15 +88,12 @@ def history_filter(spark, d):
 def _abstract_scores(spark: SparkSession, d: str) -> DataFrame:
     a = memory(spark, d).filter("memory_type = 'abstract'")
     r = requests(spark, d)
-    kw = lexical.best_fields(lexical.match(r, lexical.postings(a, "id", ["query"]), "id", a), "id", {"query": 1.0})
-    own = r.select("request_id", "user_id")
-    of = a.select("id", F.col("user_id").alias("owner"))
-    kw = kw.join(own, "request_id").join(of, "id").filter("user_id = owner").select("request_id", "id", "score")
+    # the user is part of the search: a request meets only its user's summaries
+    kw = lexical.search(r, a, "id", {"c": lexical.Channel({"query": 1.0})}, 10, group="user_id")
     v = table(spark, d, "memory_history").filter("memory_type = 'abstract' and query_vector is not null").select("id", "user_id", "query_vector").distinct()
-    # the filter on the user comes before the ranking: blocks of a user meet only blocks of the same user
-    vec = exact_knn(request_vectors(spark, d).join(own, "request_id"), v, "request_id", "query_vector", "id", "query_vector", 10, group="user_id")
+    vec = exact_knn(request_vectors(spark, d).join(r.select("request_id", "user_id"), "request_id"), v, "request_id", "query_vector", "id", "query_vector", 10, group="user_id")
     vec = vec.select(F.col("request_id").cast("bigint").alias("request_id"), "id", ((1 + F.col("cosine")) / 2).alias("score"))
-    return M.fused_search(lexical.top(kw, "id", 10), vec, "id")
+    return M.fused_search(kw, vec, "id")
 
 
 def abstract_search(spark, d):
@@ -101,26 +101,36 @@ def abstract_search(spark, d):
     return lexical.top(_abstract_scores(spark, d), "id", 2).select("request_id", "id", "score", "rank")
 
 
-def history_search(spark, d):
-    """Keyword channel of FUS-17: chats named by the matched summaries, with raw scores. fused_history_search is the whole of it."""
-    hit = abstract_search(spark, d).join(memory(spark, d).select("id", "chat_ids"), "id")
-    named = hit.select("request_id", F.explode("chat_ids").alias("id")).distinct()
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """request_id, id: chats of the user that the matched summaries name."""
+    m = memory(spark, d)
+    hit = abstract_search(spark, d).join(m.select("id", "chat_ids"), "id").select("request_id", F.explode("chat_ids").alias("id")).distinct()
+    own = m.filter("memory_type = 'chat'").select("id", F.col("user_id").alias("owner"))
+    return hit.join(requests(spark, d).select("request_id", "user_id"), "request_id").join(own, "id").filter("user_id = owner").select("request_id", "id")
+
+
+def history_keyword(spark, d):
+    """Keyword channel of FUS-17, raw scores: only the named chats are scored."""
     m = memory(spark, d).filter("memory_type = 'chat'")
-    kw = lexical.best_fields(lexical.match(requests(spark, d), lexical.postings(m, "id", ["query", "answer"]), "id", m), "id", {"query": 1.0, "answer": 1.0})
-    return kw.join(named, ["request_id", "id"], "left_semi").select("request_id", "id", "score")
+    return lexical.pair_scores(_named(spark, d), requests(spark, d), m, "id", {"query": 1.0, "answer": 1.0})
 
 
-def fused_history_search(spark, d):
-    """FUS-17: chats of the user named by the matched summaries, three best by keyword 0.4 and three by vector 0.6, above 0.4."""
-    hit = abstract_search(spark, d).join(memory(spark, d).select("id", "chat_ids"), "id")
-    named = hit.select("request_id", F.explode("chat_ids").alias("id")).distinct()
+def history_search(spark, d):
+    """FUS-17, FLT-8, RET-16: chats of the user named by the matched summaries, three best by keyword 0.4 and three completed ones by vector 0.6, above 0.4."""
+    named = cut(_named(spark, d))  # read by both channels
     m = memory(spark, d).filter("memory_type = 'chat'")
-    r = requests(spark, d)
-    named = named.join(r.select("request_id", "user_id"), "request_id").join(m.select("id", F.col("user_id").alias("owner")), "id").filter("user_id = owner").select("request_id", "id")
-    named = cut(named)  # read by both channels
-    kw = lexical.best_fields(lexical.match(r, lexical.postings(m, "id", ["query", "answer"]), "id", m), "id", {"query": 1.0, "answer": 1.0})
-    kw = kw.join(named, ["request_id", "id"], "left_semi").select("request_id", "id", "score")
-    return M.fused_search(lexical.top(kw, "id", 3), lexical.top(named_vectors(named, request_vectors(spark, d), table(spark, d, "memory_history")), "id", 3), "id")
+    kw = lexical.pair_scores(named, requests(spark, d), m, "id", {"query": 1.0, "answer": 1.0})
+    vec = named_vectors(named, request_vectors(spark, d), table(spark, d, "memory_history").filter(is_completed(F.col("status"))))
+    return M.fused_search(lexical.top(kw, "id", 3), lexical.top(vec, "id", 3), "id")
+
+
+def memory_vector(spark, d):
+    """RET-16, FLT-8: the user's completed chats by query_vector, best three, maximum-normalised to 0.6; the filters come before the ranking."""
+    v = table(spark, d, "memory_history").filter((F.col("memory_type") == "chat") & is_completed(F.col("status"))).select("id", "user_id", "query_vector").distinct()
+    q = request_vectors(spark, d).join(requests(spark, d).select("request_id", "user_id"), "request_id")
+    found = exact_knn(q, v, "request_id", "query_vector", "id", "query_vector", 3, group="user_id")
+    found = found.select(F.col("request_id").cast("bigint").alias("request_id"), "id", ((1 + F.col("cosine")) / 2).alias("score"), "rank")
+    return found.select("request_id", "id", F.round(fusion.max_norm(F.col("score"), 0.6, "request_id"), 6).alias("score"), "rank")
 
 
 def named_vectors(named: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFrame:
@@ -159,8 +169,8 @@ def graph_via_paths(spark, d):
 def entity_align(spark, d):
     """RET-14, GRA-4: the best entity of each request, if its score reaches 0.4."""
     e = table(spark, d, "doc_sources").select("source", "title")
-    hits = lexical.match(requests(spark, d), lexical.postings(e, "source", ["title"]), "source", e)
-    return lexical.top(lexical.best_fields(hits, "source", {"title": 1.0}), "source", 1).filter("score >= 0.4").select("request_id", "source", "score")
+    hits = lexical.search(requests(spark, d), e, "source", {"c": lexical.Channel({"title": 1.0})}, 1)
+    return hits.filter("score >= 0.4").select("request_id", "source", "score")
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -177,6 +187,12 @@ def dedupe_delivery(spark, d):
     return E.limiter(_hits(spark, d), "user_id", "seconds", "event_id", 1, 600.0).filter("allowed").select("user_id", "event_id")
 
 
+def guarded_delivery(spark, d):
+    """STR-6: as dedupe_delivery, where errors are failed deliveries that release the lock."""
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+    return E.guarded(rows.withColumn("failed", F.col("event_type") == "error"), "user_id", "seconds", "event_id", "failed").select("user_id", "event_id")
+
+
 def hit_islands(spark, d):
     """Runs of hits with pauses under six hours."""
     return E.islands(_hits(spark, d), "user_id", "seconds", 21_600.0).groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"))
@@ -228,8 +244,8 @@ def event_windows(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    recent_turns, summary_groups, pending_summaries, chat_list, completed_chats, session_names, sessions_of_user, ownership, chat_points, status_fold, history_filter, abstract_search, history_search, fused_history_search,
-    graph_trails, graph_via_paths, entity_align, anchored_limiter, dedupe_delivery, hit_islands, stream_assemble, stream_retention, profile_fold, message_validation, event_windows,
+    recent_turns, summary_groups, pending_summaries, chat_list, completed_chats, session_names, sessions_of_user, ownership, chat_points, status_fold, history_filter, abstract_search, history_keyword, history_search, memory_vector,
+    graph_trails, graph_via_paths, entity_align, anchored_limiter, dedupe_delivery, guarded_delivery, hit_islands, stream_assemble, stream_retention, profile_fold, message_validation, event_windows,
 )}
 
 _C = f"WITH {CHATS_SQL}"
@@ -239,14 +255,21 @@ _BEST = lambda f: f"SELECT request_id, id, max(score) AS score FROM hits WHERE f
 _MAXN = "CASE WHEN max(score) OVER (PARTITION BY request_id) > 0 THEN score / max(score) OVER (PARTITION BY request_id) * {w}::DOUBLE ELSE score END"
 _ABS = f"""WITH {MEMORY_SQL}, {REQUESTS_SQL}, ab AS (SELECT * FROM m WHERE memory_type = 'abstract'), {bm25_sql(['query'], docs='ab', key='id')},
  kw AS (SELECT * FROM (SELECT x.request_id, x.id, x.score, row_number() OVER (PARTITION BY x.request_id ORDER BY x.score DESC, x.id) AS r FROM ({_BEST("'query'")}) x JOIN q ON q.request_id = x.request_id JOIN ab ON ab.id = x.id WHERE q.user_id = ab.user_id) WHERE r <= 10),
- qv AS (SELECT DISTINCT try_cast(id AS BIGINT) AS request_id, user_id, query_vector AS v FROM memory_history WHERE memory_type = 'chat' AND try_cast(id AS BIGINT) % 20 = 0 AND len(query_vector) = 64),
- av AS (SELECT DISTINCT id, user_id, query_vector AS v FROM memory_history WHERE memory_type = 'abstract' AND len(query_vector) = 64),
+ qv AS (SELECT DISTINCT try_cast(id AS BIGINT) AS request_id, user_id, list_transform(query_vector, lambda z: coalesce(z, 'nan'::DOUBLE)) AS v FROM memory_history WHERE memory_type = 'chat' AND try_cast(id AS BIGINT) % 20 = 0 AND len(query_vector) = 64),
+ av AS (SELECT DISTINCT id, user_id, list_transform(query_vector, lambda z: coalesce(z, 'nan'::DOUBLE)) AS v FROM memory_history WHERE memory_type = 'abstract' AND len(query_vector) = 64),
  kn AS (SELECT request_id, id, (1 + round(list_dot_product(qv.v, av.v) / (sqrt(list_dot_product(qv.v, qv.v)) * sqrt(list_dot_product(av.v, av.v))), 6)) / 2 AS score FROM qv JOIN av ON qv.user_id = av.user_id
    WHERE list_dot_product(qv.v, qv.v) > 0 AND isfinite(list_dot_product(qv.v, qv.v)) AND list_dot_product(av.v, av.v) > 0 AND isfinite(list_dot_product(av.v, av.v))),
  vc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS r FROM kn) WHERE r <= 10),
  fu AS (SELECT request_id, id, round(sum(s), 6) AS score FROM (SELECT request_id, id, {_MAXN.format(w=0.4)} AS s FROM kw UNION ALL SELECT request_id, id, {_MAXN.format(w=0.6)} AS s FROM vc) GROUP BY 1, 2),
  abs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank FROM fu WHERE score > 0.4::DOUBLE) WHERE rank <= 2)"""
-_LIMIT = """WITH RECURSIVE h AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+_NAMED = f"""{_ABS}, mc AS (SELECT * FROM m WHERE memory_type = 'chat'),
+ nm AS (SELECT x.request_id, x.id FROM (SELECT DISTINCT request_id, unnest(chat_ids) AS id FROM abs JOIN m USING (id)) x JOIN q ON q.request_id = x.request_id JOIN mc ON mc.id = x.id WHERE q.user_id = mc.user_id),
+ {bm25_sql(['query', 'answer'], docs='mc', key='id', tag='2')},
+ kwc AS (SELECT h.request_id, h.id, max(h.score) AS score FROM hits2 h JOIN nm ON nm.request_id = h.request_id AND nm.id = h.id GROUP BY 1, 2)"""
+_OWNV = """ov AS (SELECT DISTINCT id, user_id, list_transform(query_vector, lambda z: coalesce(z, 'nan'::DOUBLE)) AS v FROM memory_history WHERE memory_type = 'chat' AND len(query_vector) = 64 AND upper(trim(status, e' \\t\\r\\n')) = 'COMPLETED'),
+ vown AS (SELECT qv.request_id, ov.id, max((1 + round(list_dot_product(qv.v, ov.v) / (sqrt(list_dot_product(qv.v, qv.v)) * sqrt(list_dot_product(ov.v, ov.v))), 6)) / 2) AS score FROM qv JOIN q ON q.request_id = qv.request_id JOIN ov ON ov.user_id = q.user_id
+   WHERE list_dot_product(qv.v, qv.v) > 0 AND isfinite(list_dot_product(qv.v, qv.v)) AND list_dot_product(ov.v, ov.v) > 0 AND isfinite(list_dot_product(ov.v, ov.v)) GROUP BY 1, 2)"""
+_LIMIT = """WITH RECURSIVE h AS (SELECT event_id, user_id, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events {where}),
  l AS (SELECT user_id, event_id, i, s AS st, 1 AS n FROM h WHERE i = 1
    UNION ALL SELECT h.user_id, h.event_id, h.i, CASE WHEN h.s - l.st >= {w} THEN h.s ELSE l.st END, CASE WHEN h.s - l.st >= {w} THEN 1 ELSE l.n + 1 END FROM l JOIN h ON h.user_id = l.user_id AND h.i = l.i + 1)"""
 
@@ -264,14 +287,21 @@ SQL = {
     "SELECT task_id, CASE WHEN bool_or(coalesce(s = 'COMPLETED', false)) THEN 'COMPLETED' ELSE max(s) FILTER (rn = 1) END AS status, count(*) FILTER (s = 'FAILED') AS failures, count(*) AS states FROM y GROUP BY 1",
     "history_filter": f"{_C}, x AS (SELECT coalesce(upper(trim(status)), 'FAILED') AS status FROM c) SELECT status, count(*) AS n FROM x WHERE status NOT IN ('FAILED', 'GENERATING') GROUP BY 1",
     "abstract_search": f"{_ABS} SELECT request_id, id, score, rank FROM abs",
-    "history_search": f"""{_ABS}, nm AS (SELECT DISTINCT request_id, unnest(chat_ids) AS id FROM abs JOIN m USING (id)), mc AS (SELECT * FROM m WHERE memory_type = 'chat'),
- {bm25_sql(['query', 'answer'], docs='mc', key='id').replace(' p0 ', ' p9 ').replace('FROM p0', 'FROM p9').replace(' p AS', ' pp AS').replace('FROM p ', 'FROM pp ').replace('FROM p)', 'FROM pp)').replace('JOIN p ', 'JOIN pp p ').replace(' a AS', ' a2 AS').replace('FROM a ', 'FROM a2 a ').replace(' an AS', ' an2 AS').replace('JOIN an ', 'JOIN an2 an ').replace(' ln AS', ' ln2 AS').replace('JOIN ln ', 'JOIN ln2 ln ').replace(' df AS (', ' df2 AS (').replace('JOIN df ', 'JOIN df2 df ').replace(' n AS (', ' n2 AS (').replace('CROSS JOIN n ', 'CROSS JOIN n2 n ').replace(' hits AS', ' h2 AS')}
- SELECT x.request_id, x.id, x.score FROM (SELECT request_id, id, max(score) AS score FROM h2 GROUP BY 1, 2) x JOIN nm ON nm.request_id = x.request_id AND nm.id = x.id""",
+    "history_keyword": f"""{_NAMED} SELECT x.request_id, x.id, x.score FROM kwc x""",
+    "history_search": f"""{_NAMED}, {_OWNV},
+ kt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS r FROM kwc) WHERE r <= 3),
+ vt AS (SELECT * FROM (SELECT v.request_id, v.id, v.score, row_number() OVER (PARTITION BY v.request_id ORDER BY v.score DESC, v.id) AS r FROM vown v JOIN nm ON nm.request_id = v.request_id AND nm.id = v.id) WHERE r <= 3),
+ fs AS (SELECT request_id, id, round(sum(s), 6) AS score FROM (SELECT request_id, id, {_MAXN.format(w=0.4)} AS s FROM kt UNION ALL SELECT request_id, id, {_MAXN.format(w=0.6)} AS s FROM vt) GROUP BY 1, 2)
+ SELECT * FROM fs WHERE score > 0.4::DOUBLE""",
+    "memory_vector": f"""WITH {REQUESTS_SQL}, qv AS (SELECT DISTINCT try_cast(id AS BIGINT) AS request_id, list_transform(query_vector, lambda z: coalesce(z, 'nan'::DOUBLE)) AS v FROM memory_history WHERE memory_type = 'chat' AND try_cast(id AS BIGINT) % 20 = 0 AND len(query_vector) = 64), {_OWNV},
+ vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank FROM vown) WHERE rank <= 3) SELECT request_id, id, round({_MAXN.format(w=0.6)}, 6) AS score, rank FROM vt""",
     "graph_trails": "SELECT 'r' || n_regionkey AS start, 'c' || c_custkey AS node, 'r' || n_regionkey || '>n' || n_nationkey || '>c' || c_custkey AS path FROM nation JOIN customer ON c_nationkey = n_nationkey",
     "graph_via_paths": "SELECT 'r' || n_regionkey AS start, 's' || s_suppkey AS node, '首先，r' || n_regionkey || ':node r' || n_regionkey || ',其次，n' || n_nationkey || ':node n' || n_nationkey || ',最后，s' || s_suppkey || ':node s' || s_suppkey AS evidence FROM nation JOIN supplier ON s_nationkey = n_nationkey",
     "entity_align": f"WITH {REQUESTS_SQL}, {bm25_sql(['title'], docs='doc_sources', key='source')} SELECT request_id, source, score FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, source) AS r FROM hits) WHERE r = 1 AND score >= 0.4::DOUBLE",
-    "anchored_limiter": _LIMIT.format(w=3600) + " SELECT user_id, count(*) FILTER (n <= 2) AS allowed, count(*) AS hits FROM l GROUP BY 1",
-    "dedupe_delivery": _LIMIT.format(w=600) + " SELECT user_id, event_id FROM l WHERE n = 1",
+    "anchored_limiter": _LIMIT.format(w=3_600_000_000, where="") + " SELECT user_id, count(*) FILTER (n <= 2) AS allowed, count(*) AS hits FROM l GROUP BY 1",
+    "dedupe_delivery": _LIMIT.format(w=600_000_000, where="") + " SELECT user_id, event_id FROM l WHERE n = 1",
+    "guarded_delivery": _LIMIT.format(w=600_000_000, where="WHERE event_type IS DISTINCT FROM 'error'") + ", g AS (SELECT user_id, event_id FROM l WHERE n = 1), k AS (SELECT g.*, epoch_us(e.ts) AS s FROM g JOIN events e ON e.event_id = g.event_id)"
+    " SELECT user_id, event_id FROM g UNION ALL SELECT user_id, event_id FROM events e WHERE event_type = 'error' AND user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.user_id = e.user_id AND (k.s, k.event_id) < (epoch_us(e.ts), e.event_id) AND epoch_us(e.ts) - k.s < 600000000)",
     "hit_islands": "WITH h AS (SELECT user_id, epoch_us(ts) / 1e6 AS s, event_id FROM events), x AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) < 21600 THEN 0 ELSE 1 END AS b FROM h), y AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY s RANGE UNBOUNDED PRECEDING) AS island FROM x) SELECT user_id, island, count(*) AS n FROM y GROUP BY 1, 2",
     "stream_assemble": f"{_C} SELECT CAST(chat_id AS VARCHAR) AS task_id, length(answer) AS chars, md5(answer) AS digest, 'done' AS state FROM c WHERE done AND answer IS NOT NULL",
     "stream_retention": f"{_C}, n AS (SELECT CAST(chat_id AS VARCHAR) AS task_id, CAST(ceil(length(answer) / 40.0) AS INTEGER) AS k FROM c WHERE done AND answer IS NOT NULL), e AS (SELECT task_id, k, unnest(range(0, k + 2)) AS sequence FROM n) SELECT task_id, sequence, CASE WHEN sequence = 0 THEN 'start' WHEN sequence = k + 1 THEN 'done' ELSE 'delta' END AS event_type FROM e WHERE sequence > k - 4",

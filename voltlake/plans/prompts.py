@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from voltlake.operators import lexical
 from voltlake.operators import prompts as P
-from voltlake.plans.base import CHATS_SQL, CHUNKS_SQL, REQUESTS_SQL, bm25_sql, chats, chunk_texts, requests
-from voltlake.session import table
+from voltlake.plans.base import CHATS_SQL, CHUNKS_SQL, REQUESTS_SQL, bm25_sql, chats, chunk_texts, keywords_sql, requests
+from voltlake.plans.retrieval import keywords_of
+from voltlake.session import cut, table
 
 
 def request_keywords(spark, d):
-    """RET-8, 9: rows only."""
-    posts = lexical.postings(chunk_texts(spark, d), "chunk_id", ["text"])
-    df = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    return P.keywords(requests(spark, d), df, chunk_texts(spark, d).count()).select("request_id", "tok", "weight", "rank")
+    """RET-8, 9"""
+    stats = cut(lexical.statistics(chunk_texts(spark, d), ["text"]))
+    return keywords_of(requests(spark, d), stats).select("request_id", "tok", "weight", "rank")
 
 
 def merged_answers(spark, d):
@@ -26,8 +26,8 @@ def merged_answers(spark, d):
 def compact_context(spark, d):
     """FUS-20, 21: the first five text hits of a request, blank ones dropped after the cut, as source blocks."""
     c = chunk_texts(spark, d)
-    hits = lexical.match(requests(spark, d), lexical.postings(c, "chunk_id", ["text"]), "chunk_id", c)
-    top = lexical.top(lexical.best_fields(hits, "chunk_id", {"text": 1.0}), "chunk_id", 5).join(c.select("chunk_id", "title", F.trim("text").alias("text")), "chunk_id").filter("text <> ''")
+    hits = lexical.search(requests(spark, d), c, "chunk_id", {"c": lexical.Channel({"text": 1.0})}, 5)
+    top = hits.join(c.select("chunk_id", "title", F.trim("text").alias("text")), "chunk_id").filter("text <> ''")
     packed = top.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "chunk_id", "text"))).alias("a"))
     return packed.select("request_id", F.md5(P.source_blocks(F.col("a"))).alias("digest"), F.size("a").alias("n"))
 
@@ -41,6 +41,7 @@ def training_rows(spark, d):
 QUERIES = {f.__name__: f for f in (request_keywords, merged_answers, compact_context, training_rows)}
 
 SQL = {
+    "request_keywords": f"WITH {CHUNKS_SQL}, {REQUESTS_SQL}, {keywords_sql()} SELECT request_id, tok, weight, rank FROM ks",
     "merged_answers": rf"WITH {CHATS_SQL} SELECT task_id, md5(string_agg(answer, e'\n\n\n' ORDER BY chat_id)) AS digest FROM c WHERE done AND task_id IS NOT NULL AND regexp_replace(coalesce(answer, ''), '[ \t\r\n\x{{3000}}]+', '', 'g') <> '' GROUP BY 1",
     "compact_context": rf"""WITH {CHUNKS_SQL}, {REQUESTS_SQL}, {bm25_sql(['text'])}, tp AS (SELECT x.request_id, x.rank, d.title, d.chunk_id, trim(d.text) AS text FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS rank FROM hits) x JOIN d USING (chunk_id) WHERE x.rank <= 5 AND trim(d.text) <> ''),
  z AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS i FROM tp) SELECT request_id, md5(string_agg('[source_' || i || e']\ndocument_title: ' || coalesce(title, '') || e'\nchunk_id: ' || chunk_id || e'\n' || text, e'\n\n' ORDER BY i)) AS digest, CAST(count(*) AS INTEGER) AS n FROM z GROUP BY 1""",
