@@ -155,8 +155,9 @@ def common(a: str, b: str) -> int:
 
 def is_copy(question: str, answer: str) -> bool:
     q = letters(question)
-    if len(q) < 6:
-        return False
+    if len(q) < 6:  # too short for shingles: the question itself, once or several times, or turned round
+        a = letters(answer)
+        return len(q) >= 2 and a != "" and (a.replace(q, "") == "" or (len(a) == len(q) and a in q + q))
     if len(answer) > 3 * len(question) + 160:  # a start that is no repetition rules out the whole
         a, most = letters(answer[: 2 * len(question) + 150])[:-4], max(24, 0.3 * len(q))
         if len(a) > len(q) + most:
@@ -189,10 +190,24 @@ def is_copy(question: str, answer: str) -> bool:
     k = a.find(q[:4])
     if k > 0:
         turns.add(a[k:] + a[:k])
+    if _parts_of(q, a, shared, filler):
+        return True
     best = max(common(q, t) for t in turns)
     return best >= 0.72 * len(q) and len(a) - best <= filler
 
 
+def _parts_of(q: str, a: str, shared: list[bool], filler: float) -> bool:
+    """The answer is the question's parts in another order, turned at any number of places: shingles cover nearly all of both."""
+    covered, back, grams = bytearray(len(a)), bytearray(len(q)), {a[i : i + 3] for i in range(len(a) - 2)}
+    for i, s in enumerate(shared):
+        if s:
+            covered[i : i + 3] = b"\1\1\1"
+    for i in range(len(q) - 2):
+        if q[i : i + 3] in grams:
+            back[i : i + 3] = b"\1\1\1"
+    return len(a) - sum(covered) <= filler and sum(back) >= 0.85 * len(q)
+
+
 def _tokens(text: str) -> list[str]:
     return re.findall(r"[㐀-鿿]|[^\W_㐀-鿿]+|\*", text.lower().replace("’", "'").replace("'", ""))
 
@@ -348,10 +363,12 @@ def flag_pairs(pairs: DataFrame, record_set: str) -> DataFrame:
 
 
 def chat_defects(chats: DataFrame) -> DataFrame:
-    """Defects of the completed current rows. Each state is judged where it is read, so that only (id, time, verdict) is shuffled."""
+    """Defects of the completed current rows. Each state is judged where it is read, so that only (id, time, verdict) is shuffled; texts of rows not completed stay outside Python."""
+    done = is_completed(F.col("status"))
     state = chats.filter(F.col("chat_id").isNotNull()).select(
-        F.col("chat_id"), "update_time", "create_time", is_completed(F.col("status")).alias("done"), "question", "answer", has_content(F.col("question")).alias("asks"), has_content(F.col("answer")).alias("full")
-    )
+        "chat_id", "update_time", "create_time", done.alias("done"), (done & has_content(F.col("question"))).alias("asks"), (done & has_content(F.col("answer"))).alias("full"),
+        F.when(done, F.col("question")).alias("question"), F.when(done, F.col("answer")).alias("answer"),
+    )
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
