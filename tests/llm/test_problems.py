@@ -146,6 +146,11 @@ def test_defects(q, a, want):
     assert defects.defect(q, a, bool(q)) == want
 
 
+@pytest.mark.parametrize("q,a,want", [("电压多少", "电压多少", True), ("电压多少？", "电压多少？电压多少？", True), ("电压多少", "多少电压", True), ("电压多少", "电压为 10 kV", False), ("U?", "U?", False), ("请说明断路器拒动的原因，并给出处理步骤和注意事项", "注意事项和处理步骤，断路器拒动的原因请说明并给出", True)])
+def test_short_and_turned_copies(q, a, want):
+    assert defects.is_copy(q, a) == want
+
+
 LONG = "第三号主变压器在雷雨季节连续运行期间油中溶解气体含量与环境湿度和负荷率之间的相互关系" * 5
 
 
@@ -326,6 +331,18 @@ def test_personal(text, want):
     assert {(k, text[s:e]) for s, e, k in personal.spans(text, personal.automaton())} == want
 
 
+def test_long_addresses_and_names_come_out_whole():
+    anchors, found = personal.automaton(), lambda t: [(t[s:e], k) for s, e, k in personal.spans(t, anchors)]
+    long = "江苏省苏州市工业园区" + "星湖" * 40 + "金鸡湖大道88号3栋2单元501室"
+    assert found(f"本人住在{long}，请联系。") == [(long, "address")]
+    street = "14 " + "Nordheimerwalde" * 6 + " Hill Road, Kingsbridge"
+    assert found(f"Send it to {street} please") == [(street, "address")]
+    name = "Maria-" + "-".join(["Luisenhofgarten"] * 6) + " Achterhof"
+    assert found(f"Yesterday\n{name} signed the permit.") == [(name, "name")]
+    mail = "relay@" + ".".join(["substation"] * 40) + ".example.com"
+    assert found(f"Write to {mail}") == [(mail, "email")]
+
+
 def test_personal_rows(spark):
     df = spark.createDataFrame([(1, "写信到a.b@example.com。又写信到a.b@example.com。", "x"), (1, "写信到a.b@example.com。又写信到a.b@example.com。", "x"), (2, None, "x"), (3, "", "x"), (None, "a.b@example.com", "x")], "doc_id long, text string, kind string")
     assert [(r.doc_id, r.kind, r.value) for r in personal.find(df).collect()] == [(1, "email", "a.b@example.com")]

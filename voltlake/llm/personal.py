@@ -29,11 +29,12 @@ _ZERO = {0x30 + i: 0x30 for i in range(10)}
 EMAIL_ANCHORS = ["@", "(at)", "[at]", "{at}", "<at>", "(AT)", "[AT]", "{AT}", " dot ", " DOT "]
 NUMBER_ANCHORS = ["+0", "(0", "000-0", "000 0", "000.0", "00-0000", "00 0000", "0000000", "00 00 00", "00.00.00"]
 ZH_ROADS = ["路", "街", "巷", "道", "弄", "胡同", "里", "坊"]
-WEST_ROADS = [
+EN_ROADS = [
     "Road", "Street", "Lane", "Crescent", "Avenue", "Drive", "Close", "Court", "Terrace", "Square", "Boulevard", "Gardens", "Grove", "Hill", "Mews", "Row", "Walk", "Way", "Place", "Parkway",
-    " Rd", " St", " Ave", " Ln", " Dr", " Blvd", "Straße", "Strasse", "straße", "strasse", "Str.", "str.", "Weg", "weg ", "Allee", "allee ", "Gasse", "gasse ", "Platz", "platz ", "Ring", "ring ", "Ufer", "ufer ",
-    "rue ", "avenue ", "boulevard ", "chemin ", "place ", "quai ", "allée ", "impasse ", "route ", "cours ", "passage ",
+    " Rd", " St", " Ave", " Ln", " Dr", " Blvd",
 ]
+DE_ROADS = ["Straße", "Strasse", "straße", "strasse", "Str.", "str.", "Weg", "weg ", "Allee", "allee ", "Gasse", "gasse ", "Platz", "platz ", "Ring", "ring ", "Ufer", "ufer "]
+FR_ROADS = ["rue ", "avenue ", "boulevard ", "chemin ", "place ", "quai ", "allée ", "impasse ", "route ", "cours ", "passage "]
 ZH_BEFORE = ["联系人", "值班员", "负责人", "专责", "收件人", "登记", "据", "由", "监护人", "工作人员", "经办人", "签发人", "操作人", "姓名", "班长", "调度员", "工程师", "主任", "、", "住户", "家属"]
 ZH_AFTER = ["认为", "则主张", "主张", "回忆", "已签字", "签字", "会签", "收", "于当日", "要求", "负责", "(", "反映", "完成", "表示", "称", "说", "告知"]
 WEST_BEFORE = [
@@ -65,6 +66,7 @@ _PHONES = [
     r"0\d{2,4}[ /]\d{3,8}(?:[ -]\d{2,5}){0,2}", r"0\d{3,4} \d{3} ?\d{3,4}",
 ]
 PHONE = re.compile(r"(?<![A-Za-z0-9_./+-])(?<!\d:)(?:" + "|".join(f"(?:{p})" for p in _PHONES) + r")(?![\dA-Za-z]|[-./:]\d| ?(?:kV|V|A|MW|MVA|kWh|ms|Hz|%|℃|Ω)\b)")
+# Looked for in the 16 signs before a number: the longest cue (serial number) and three signs.
 _SERIAL = re.compile(r"(?:序列号|编号|单号|序号|批号|型号|serial number|number|Nummer|numéro|order|ordre|Auftrag|No\.|reading|读数|factor|Asset|asset)[为是:： ]{0,3}$", re.I)
 
 _ZH_UNIT = r"(?: ?\d{1,4}(?:号楼|号院|号|弄|栋|幢|座|单元|室|层|楼|户|门))"
@@ -90,6 +92,21 @@ WEST_NAME = re.compile(rf"(?<![A-Za-zÀ-ÿ])(?:{_WORD} (?:[A-Z]\. ?)?{_PART}{_WO
 _NOT_WEST = re.compile(r"^(?:The|A(?!\.)|An|At|In|If|On|Over|Under|To|When|Das|Der|Die|Bei|Im|In|Nach|Le|La|Les|Pour|Si|À|Il|Es|NRS|GN|TX|Q|DW|Phase|Bay|Unit|Service|Tower|Panel|Work|Meter)\b|\b(?:Road|Street|Lane|Crescent|Straße|Str|Station|Substation|Bay|Unit|Apt|Floor)\b")
 
 
+NAME_WORDS = 6  # a name by WEST_NAME has at most five words
+_STREETS = {"road_en": EN_ADDRESS, "road_de": DE_ADDRESS, "road_fr": FR_ADDRESS}
+_MAIL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@ ()[]{}<>")
+
+
+def _reach(t: str, at: int, last: int, signs: frozenset) -> tuple[int, int]:
+    """The stretch around an anchor that holds nothing but these signs."""
+    left, right = at, last + 1
+    while left > 0 and t[left - 1] in signs:
+        left -= 1
+    while right < len(t) and t[right] in signs:
+        right += 1
+    return left, right
+
+
 _CAPITAL = re.compile(r"(?<![A-Za-zÀ-ÿ'’-])[A-ZÀ-ÖØ-Þ]")
 
 
@@ -109,7 +126,7 @@ def automaton():
     a = ahocorasick.Automaton()
     kinds: dict[str, list[str]] = {}
     for kind, words in (
-        ("email", EMAIL_ANCHORS), ("number", NUMBER_ANCHORS), ("zh_road", ZH_ROADS), ("road", WEST_ROADS), ("zh_before", ZH_BEFORE), ("zh_after", ZH_AFTER), ("before", WEST_BEFORE), ("after", WEST_AFTER),
+        ("email", EMAIL_ANCHORS), ("number", NUMBER_ANCHORS), ("zh_road", ZH_ROADS), ("road_en", EN_ROADS), ("road_de", DE_ROADS), ("road_fr", FR_ROADS), ("zh_before", ZH_BEFORE), ("zh_after", ZH_AFTER), ("before", WEST_BEFORE), ("after", WEST_AFTER),
     ):
         for w in words:
             kinds.setdefault(w, []).append(kind)
@@ -177,7 +194,8 @@ def spans(text: str, anchors) -> list[tuple[int, int, str]]:
     """(start, end, kind) without overlaps, in order."""
     t = text.translate(_FOLD)
     found: list[tuple[int, int, int, str]] = []
-    seen_number = seen_email = seen_line = -1
+    seen_number = seen_email = -1
+    seen_road: dict[str, int] = {}
     for last, (size, kinds) in anchors.iter(t.translate(_ZERO)):
         at = last - size + 1
         for kind in kinds:
@@ -199,17 +217,15 @@ def spans(text: str, anchors) -> list[tuple[int, int, str]]:
             elif kind == "email":
                 if last < seen_email:
                     continue
-                for m in EMAIL.finditer(t, max(0, at - 90), min(len(t), last + 260)):
+                for m in EMAIL.finditer(t, *_reach(t, at, last, _MAIL_SIGNS)):
                     if m.start() <= last:
                         found.append((0, m.start(), m.end(), "email"))
-                        seen_email = m.end()
-                        if m.end() > last:
-                            break
+                        seen_email = max(seen_email, m.end())
             elif kind == "zh_road":
                 m = ZH_STREET.match(t, at)
                 if m:
                     left = at
-                    while left > 0 and (_is_han(t[left - 1]) or (t[left - 1] == " " and left > 1 and _is_han(t[left - 2]))) and at - left < 40:
+                    while left > 0 and (_is_han(t[left - 1]) or (t[left - 1] == " " and left > 1 and _is_han(t[left - 2]))):
                         left -= 1
                     head = t[left:at]
                     cue = _ZH_CUE.match(head)
@@ -219,12 +235,14 @@ def spans(text: str, anchors) -> list[tuple[int, int, str]]:
                     head = t[start:at]
                     if head and (cue or _ZH_PLACE.search(head)) and not re.search(r"(?:回|电|线|短|支|馈|旁|通|开)$", head):
                         found.append((3, start, m.end(), "address"))
-            elif kind == "road":
-                a, b = max(0, at - 60), min(len(t), last + 110)
-                for p in (EN_ADDRESS, DE_ADDRESS, FR_ADDRESS):
-                    for m in p.finditer(t, a, b):
-                        if m.start() <= last < m.end():
-                            found.append((3, m.start(), m.end(), "address"))
+            elif kind in _STREETS:
+                if last < seen_road.get(kind, -1):
+                    continue
+                a, b = t.rfind("\n", 0, at) + 1, t.find("\n", last)  # an address stands in one line, which is searched once
+                b = len(t) if b < 0 else b
+                seen_road[kind] = b
+                for m in _STREETS[kind].finditer(t, a, b):
+                    found.append((3, m.start(), m.end(), "address"))
             elif kind == "zh_before":
                 start = last + 1
                 while start < len(t) and t[start] in ":： ":
@@ -240,7 +258,9 @@ def spans(text: str, anchors) -> list[tuple[int, int, str]]:
                 if m and not _NOT_WEST.search(m[0]):
                     found.append((4, m.start(), m.end(), "name"))
             else:
-                a = max(0, at - 70)
+                a = at
+                for _ in range(NAME_WORDS):
+                    a = max(0, t.rfind(" ", 0, a))
                 for start in _CAPITAL.finditer(t, a, at):
                     m = WEST_NAME.fullmatch(t, start.start(), at)
                     if m and not _NOT_WEST.search(m[0]):
