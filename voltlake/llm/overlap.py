@@ -11,9 +11,9 @@
    of them, and meets as any other.
    Records whose folded texts are equal share a class: only one record of each class and split side takes part, and
    classes are expanded at the end.
-4. Chain and extend: shared seeds are counted a pair; pairs with MIN_SHARED of them are aligned sentence by sentence
-   (collinear chains may stand in any order) and each chain is extended by the longest common subsequence. Coverage is the
-   aligned share of each record.
+4. Chain and extend: all seeds of a candidate pair, with their places, are put into collinear chains (which may stand in any order). Only pairs whose chains
+   cover CHAINED of both records go on; these are aligned sentence by sentence, each extended by the longest common subsequence. Coverage is the aligned share of
+   each record. (A case covers MIN_COVER of both; at CHAINED = 0.3 no case of the tables at hand is lost, at 0.4 one of 1,501.)
 5. A pair is a case if question and answer are covered and the figures agree: the figures of aligned sentences are equal,
    and of sentences without partner there are few.
 
@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM, WINDOW, HOT, RARE, MIN_SHARED, MIN_COVER = 6, 5, 100, 0.6, 2, 0.7
+SHIFT, CHAINED = 12, 0.3  # characters by which a chain may shift from seed to seed, least share of both records under chains
 QUESTION_MARK = "【问题】"
 # Common traditional characters and their simplified forms.
 TRADITIONAL = "電時應為變與壓驗間發關對試現線檢備錄斷記裝測溫護氣結說過樣纜濕還來務個們這國學會點動機開據種類進運規專業東車門頭長書話語請誰讀寫義員號單際難題項頻額風飛馬體處從側傳條構極樓標權決況則別剛創區協單參圖圓場塊塵報擊損換擇擴擔據數"
@@ -44,12 +47,13 @@ def folded(text: str) -> str:
     return re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", text).lower().translate(_SIMPLER))
 
 
-def _minima(text: str, gram: int, window: int):
+def _selected(text: str, gram: int, window: int):
+    """(hashes, places) of the minima of all windows; the last of equal minima is taken."""
     import numpy as np
 
     a = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     if not len(a):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = min(gram, len(a))
     h = np.zeros(len(a) - g + 1, np.uint64)
     for k in range(g):
@@ -60,19 +64,58 @@ def _minima(text: str, gram: int, window: int):
     n = len(h)
     v = np.lib.stride_tricks.sliding_window_view(h[::-1], min(window, n))
     at = np.unique(n - 1 - (np.arange(len(v)) + v.argmin(1)))
-    return h[at].astype(np.int64)
+    return h[at].astype(np.int64), at
 
 
 def minima(text: str, gram: int = GRAM, window: int = WINDOW) -> list[int]:
     """Selected hashes in the order of their places; the last of equal minima is taken."""
-    return _minima(text, gram, window).tolist()
+    return _selected(text, gram, window)[0].tolist()
 
 
 def seeds(question: str, answer: str):
     """Seeds of both texts, each once."""
     import numpy as np
 
-    return np.unique(np.concatenate([_minima(text, GRAM, WINDOW) ^ np.int64(salt) for salt, text in ((17, question), (0, answer))]))
+    return np.unique(np.concatenate([_selected(text, GRAM, WINDOW)[0] ^ np.int64(salt) for salt, text in ((17, question), (0, answer))]))
+
+
+class Fingerprint:
+    """What the chains of a text need: its folded length and the places of its seeds."""
+
+    def __init__(self, text: str):
+        f = folded(text)
+        hashes, places = _selected(f, GRAM, WINDOW)
+        self.length, self.seeds = len(f), list(zip(hashes.tolist(), places.tolist()))
+        self.at: dict[int, list[int]] = {}
+        for h, p in self.seeds:
+            self.at.setdefault(h, []).append(p)
+
+
+def chained(a: Fingerprint, b: Fingerprint) -> int:
+    """Characters of a under collinear chains of seeds shared with b.
+
+    Seeds are taken in a's order. A seed goes on with the chain whose last seed stands nearest before it in b, at about the same distance as in a (insertions and slips shift it
+    by at most SHIFT); otherwise it opens a chain. Chains may stand in any order in b. A chain of two seeds or more covers all from its first to its last seed."""
+    open_: list[list[int]] = []  # first and last place in a, last place in b, seeds
+    covered = 0
+    for h, pa in a.seeds:
+        for pb in b.at.get(h, ()):
+            best = None
+            for c in reversed(open_[-8:]):
+                da, db = pa - c[1], pb - c[2]
+                if 0 <= da and 0 <= db and abs(da - db) <= SHIFT and (best is None or abs(da - db) < abs(pa - best[1] - pb + best[2])):
+                    best = c
+            if best is None:
+                open_.append([pa, pa, pb, 1])
+            else:
+                best[1], best[2], best[3] = pa, pb, best[3] + 1
+    end = 0
+    for first, last, _, n in sorted(open_):
+        stop = min(last + GRAM, a.length)
+        if stop > end:
+            covered += stop - max(first, end)
+            end = stop
+    return covered
 
 
 def records(samples: DataFrame) -> DataFrame:
@@ -87,24 +130,31 @@ def records(samples: DataFrame) -> DataFrame:
     return rows.select("sample_id", "split", F.when(F.col("split") == "train", "train").otherwise("other").alias("side"), question.alias("question"), "answer", "titles").dropDuplicates(["sample_id", "split"])
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        q, a = [folded(x) for x in pdf.question], [folded(x) for x in pdf.answer]
-        pdf = pdf.assign(fq=q, fa=a)
-        pdf = pdf[(pdf.fq != "") & (pdf.fa != "")]
-        yield pdf[["sample_id", "split", "side", "question", "answer", "fq", "fa"]]
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sample_id, split, train, question, answer) of the records with letters in both texts, with their class, the keys of their figures and their seeds.
 
+    The class is a 128-bit digest of the folded texts; figures written apart or together fold alike, so it also holds the plain text without white space."""
+    import hashlib
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, side, question, fq, fa) to (cls, side, figures, seeds): lists, so that rows are made outside Python."""
     import numpy as np
 
     for b in batches:
-        found = [seeds(q, t) for q, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+        texts = [(folded(q), folded(t), re.sub(r"\s+", "", q + "\n" + t), q) for q, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+        keep = [i for i, x in enumerate(texts) if x[0] and x[1]]
+        texts = [texts[i] for i in keep]
+        classes = [hashlib.md5("\0".join(x[:3]).encode()).digest() for x in texts]
+        found = [seeds(x[0], x[1]) for x in texts]
         offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32))
         flat = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-        marks = pa.array([figure_keys(q) for q in b.column(2).to_pylist()], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), marks, flat], names=["cls", "side", "figures", "seeds"])
+        marks = pa.array([[_key(x) for x in figure_keys(t[3])] for t in texts], pa.list_(pa.int64()))
+        rest = b.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(classes, pa.binary()), marks, flat], names=[*rest.schema.names, "cls", "figures", "seeds"])
+
+
+def _key(text: str) -> int:
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def sentences(text: str) -> list[str]:
@@ -139,20 +189,39 @@ def likeness(a: str, b: str) -> float:
     return 2 * (len(a) - v.bit_count()) / max(1, len(a) + len(b))
 
 
+@lru_cache(maxsize=4096)
+def parted(text: str):
+    """(sentences, folded, figures, counts of letters) of a text; a task meets a text in many pairs."""
+    s = sentences(text)
+    f = [folded(x) for x in s]
+    return s, f, [figures(x) for x in s], [Counter(t) for t in f]
+
+
+def _most(a: str, b: str, gap: int) -> float:
+    """A bound of likeness(a, b): gap letters of a at least have no partner in b, and no more letters pair than the shorter text has."""
+    return 2 * min(len(a) - gap, len(b)) / (len(a) + len(b))
+
+
+def _gap(a: str, letters: dict[str, int]) -> int:
+    """Letters of a, each as often as it stands there, that a text with these counts lacks."""
+    n: dict[str, int] = {}
+    for x in a:
+        n[x] = n.get(x, 0) + 1
+    return sum(max(0, k - letters.get(x, 0)) for x, k in n.items())
+
+
 def aligned(a: str, b: str) -> tuple[float, bool]:
     """(share of the longer text that is aligned, whether figures agree), sentence by sentence in any order."""
-    sa, sb = sentences(a), sentences(b)
-    fa, fb = [folded(s) for s in sa], [folded(s) for s in sb]
-    na, nb = [figures(s) for s in sa], [figures(s) for s in sb]
+    (sa, fa, na, _), (sb, fb, nb, grams) = parted(a), parted(b)
     total_a, total_b = sum(map(len, fa)), sum(map(len, fb))
     if not total_a or not total_b:
         return 0.0, False
-    grams = [{t[i : i + 2] for i in range(max(1, len(t) - 1))} for t in fb]
     free, cover_a, cover_b, agree, left_a = set(range(len(fb))), 0, 0, True, []
     for i in sorted(range(len(fa)), key=lambda i: -len(fa[i])):
-        ga = {fa[i][k : k + 2] for k in range(max(1, len(fa[i]) - 1))}
         best, score = None, 0.55
-        for j in sorted(free, key=lambda j: -len(ga & grams[j]))[:4]:
+        for bound, j in sorted(((_most(fa[i], fb[j], _gap(fa[i], grams[j])), j) for j in free), key=lambda x: (-x[0], x[1])):
+            if bound + 0.02 <= score:
+                break  # no sentence after this one can come up to it
             x = 1.0 if fa[i] == fb[j] else likeness(fa[i], fb[j])
             x += 0.02 * (na[i] == nb[j])
             if x > score:
@@ -191,44 +260,66 @@ def same_record(qa: str, aa: str, qb: str, ab: str, least: float = MIN_COVER) ->
     return cq, ca, ca >= least and figures_a
 
 
+@lru_cache(maxsize=4096)
+def _fingerprint(text: str) -> Fingerprint:
+    return Fingerprint(text)
+
+
+def chain_cover(qa: str, aa: str, qb: str, ab: str) -> float:
+    """The lesser share of the two records (question and answer) that lies under chains of shared seeds."""
+    pairs = [(_fingerprint(qa), _fingerprint(qb)), (_fingerprint(aa), _fingerprint(ab))]
+    to, back = sum(chained(x, y) for x, y in pairs), sum(chained(y, x) for x, y in pairs)
+    return min(to / max(1, sum(x.length for x, _ in pairs)), back / max(1, sum(y.length for _, y in pairs)))
+
+
 def _extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = [same_record(qa, aa, qb, ab) for qa, aa, qb, ab in zip(pdf.q_a, pdf.a_a, pdf.q_b, pdf.a_b)]
+        near = [chain_cover(*x) >= CHAINED for x in zip(pdf.q_a, pdf.a_a, pdf.q_b, pdf.a_b)]
+        pdf = pdf[near]
+        found = [same_record(*x) for x in zip(pdf.q_a, pdf.a_a, pdf.q_b, pdf.a_b)]
         pdf = pdf.assign(cover_q=[x[0] for x in found], cover_a=[x[1] for x in found])
         yield pdf.loc[[x[2] for x in found], ["cls_a", "cls_b", "cover_q", "cover_a"]]
 
 
-def overlaps(samples: DataFrame) -> DataFrame:
-    """id_a < id_b, split_a, split_b, cover_q, cover_a of the pairs across train and validation or test."""
-    base = records(samples)
-    text = base.select("sample_id", "split", "side", "question", "answer").mapInPandas(_fold, "sample_id string, split string, side string, question string, answer string, fq string, fa string")
-    # figures written apart or together fold alike, so the class also holds the plain text without white space
-    text = text.withColumn("cls", F.xxhash64("fq", "fa", F.regexp_replace(F.concat_ws("\n", "question", "answer"), r"\s+", "")))
+def class_overlaps(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs of classes, members): cls_a (train), cls_b (other), cover_q, cover_a; and cls, train, sample_id, split. A class is one text; its copies aren't expanded."""
     from voltlake.session import cut
 
-    members = cut(text.select("sample_id", "split", "side", "cls"))
-    classes = text.groupBy("cls", "side").agg(F.min(F.struct("sample_id", "question", "answer", "fq", "fa")).alias("r")).select("cls", "side", "r.*")
-    classes = cut(classes)  # read four times
-    sown = classes.select("cls", "side", "question", "fq", "fa").mapInArrow(_seeds, "cls bigint, side string, figures array<string>, seeds array<bigint>")
-    sown = sown.select("cls", "side", F.explode("figures").alias("figures"), "seeds").select("cls", "side", F.xxhash64("figures").alias("figures"), F.explode("seeds").alias("seed"))
-    sown = cut(sown)  # numbers only, read twice
-    met = sown.join(sown.groupBy("figures", "seed").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == "train").alias("trains")).filter("n > 1"), ["figures", "seed"], "left")
-    met = met.withColumn("n", F.coalesce("n", F.lit(1)))
-    own = Window.partitionBy("cls", "side", "figures")
-    rank, size = F.row_number().over(own.orderBy("n", "seed")), F.count(F.lit(1)).over(own)
-    rare = met.withColumns({"rank": rank, "size": size}).filter((F.col("rank") <= F.ceil(F.col("size") * RARE) + 1) & (F.col("n") > 1))
-    rare = rare.withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("trains") / HOT)).cast("int")).select("cls", "side", "figures", "seed", "salts")
+    rows = records(samples).select("sample_id", "split", (F.col("side") == "train").alias("train"), "question", "answer")
+    text = rows.mapInArrow(_fold, "sample_id string, split string, train boolean, question string, answer string, cls binary, figures array<bigint>, seeds array<bigint>")
+    text = cut(text)  # one row a record, read for the members, the seeds and the texts
+    members = text.select("cls", "train", "sample_id", "split")
+    classes = text.groupBy("cls", "train").agg(F.min(F.struct("sample_id", "question", "answer")).alias("r"), F.first("figures").alias("figures"), F.first("seeds").alias("seeds"))
+    classes = cut(classes.select("cls", "train", "r.question", "r.answer", "figures", "seeds"))
+    sown = classes.select("cls", "train", F.size("seeds").alias("size"), F.explode("figures").alias("figures"), "seeds").select("cls", "train", "size", "figures", F.explode("seeds").alias("seed"))
+    counts = sown.groupBy("figures", "seed").agg(F.count(F.lit(1)).alias("n"), F.count_if("train").alias("trains")).filter("n > 1")
+    met = sown.join(counts, ["figures", "seed"])
+    # seeds of one record only are its rarest and meet nothing, so the others are ranked from the most frequent down
+    down = F.row_number().over(Window.partitionBy("cls", "train", "figures").orderBy(F.desc("n"), F.desc("seed")))
+    rare = met.withColumn("rank", F.col("size") - down + 1).filter((F.col("rank") <= F.ceil(F.col("size") * RARE) + 1) & (F.col("trains") > 0) & (F.col("n") > F.col("trains")))
+    rare = rare.select("cls", "train", "figures", "seed", F.greatest(F.lit(1), F.ceil(F.col("trains") / HOT)).cast("int").alias("salts"))
     # of a hot seed each train record stands under one salt, each other record under all: every pair meets once
-    a = rare.filter("side = 'train'").select(F.col("cls").alias("cls_a"), "figures", "seed", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"))
-    b = rare.filter("side = 'other'").select(F.col("cls").alias("cls_b"), "figures", "seed", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    a = rare.filter("train").select(F.col("cls").alias("cls_a"), "figures", "seed", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"))
+    b = rare.filter("not train").select(F.col("cls").alias("cls_b"), "figures", "seed", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     pairs = a.join(b, ["figures", "seed", "salt"]).groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= MIN_SHARED)
-    same = classes.filter("side = 'train'").select("cls").join(classes.filter("side = 'other'").select("cls"), "cls").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
     pairs = pairs.select("cls_a", "cls_b").filter("cls_a != cls_b")
-    side = lambda s, x: classes.filter(F.col("side") == s).select(F.col("cls").alias(f"cls_{x}"), F.col("question").alias(f"q_{x}"), F.col("answer").alias(f"a_{x}"))
-    near = pairs.join(side("train", "a"), "cls_a").join(side("other", "b"), "cls_b").mapInPandas(_extend, "cls_a bigint, cls_b bigint, cover_q double, cover_a double")
-    found = near.unionByName(same.select("cls_a", "cls_b", F.lit(1.0).alias("cover_q"), F.lit(1.0).alias("cover_a")))
-    ids = lambda s, x: members.filter(F.col("side") == s).select(F.col("cls").alias(f"cls_{x}"), F.col("sample_id").alias(f"id_{x}"), F.col("split").alias(f"split_{x}"))
-    out = found.join(ids("train", "a"), "cls_a").join(ids("other", "b"), "cls_b").filter("id_a != id_b")
+
+    def side(train: bool, x: str) -> DataFrame:
+        return classes.filter(F.col("train") == train).select(F.col("cls").alias(f"cls_{x}"), F.col("question").alias(f"q_{x}"), F.col("answer").alias(f"a_{x}"))
+
+    near = pairs.join(side(True, "a"), "cls_a").join(side(False, "b"), "cls_b").mapInPandas(_extend, "cls_a binary, cls_b binary, cover_q double, cover_a double")
+    same = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"), F.lit(1.0).alias("cover_q"), F.lit(1.0).alias("cover_a"))
+    return near.unionByName(same), members
+
+
+def overlaps(samples: DataFrame) -> DataFrame:
+    """id_a < id_b, split_a, split_b, cover_q, cover_a of the pairs across train and validation or test: class_overlaps() with the copies expanded."""
+    found, members = class_overlaps(samples)
+
+    def ids(train: bool, x: str) -> DataFrame:
+        return members.filter(F.col("train") == train).select(F.col("cls").alias(f"cls_{x}"), F.col("sample_id").alias(f"id_{x}"), F.col("split").alias(f"split_{x}"))
+
+    out = found.join(ids(True, "a"), "cls_a").join(ids(False, "b"), "cls_b").filter("id_a != id_b")
     swap = F.col("id_a") > F.col("id_b")
     return out.select(
         F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.when(swap, F.col("split_b")).otherwise(F.col("split_a")).alias("split_a"),
@@ -237,10 +328,12 @@ def overlaps(samples: DataFrame) -> DataFrame:
 
 
 def report(samples: DataFrame) -> DataFrame:
-    """split, title, records, overlapping, mean_cover: how many records of each split and source have a partner in another split."""
-    pairs = overlaps(samples)
-    hit = pairs.select(F.col("id_a").alias("sample_id"), "cover_a").unionByName(pairs.select(F.col("id_b").alias("sample_id"), "cover_a"))
-    hit = hit.groupBy("sample_id").agg(F.max("cover_a").alias("cover"))
+    """split, title, records, overlapping, mean_cover: how many records of each split and source have a partner in another split. Copies are not expanded: a class
+    that meets another counts for all its members."""
+    found, members = class_overlaps(samples)
+    best = found.select(F.explode(F.array(F.struct(F.col("cls_a").alias("cls"), F.lit(True).alias("train")), F.struct(F.col("cls_b").alias("cls"), F.lit(False).alias("train")))).alias("c"), "cover_a")
+    best = best.groupBy("c.cls", "c.train").agg(F.max("cover_a").alias("cover"))
+    hit = members.join(best, ["cls", "train"]).select("sample_id", "cover").groupBy("sample_id").agg(F.max("cover").alias("cover"))
     rows = records(samples).select("sample_id", "split", F.explode(F.array_distinct(F.filter(F.coalesce("titles", F.array()), lambda t: t.isNotNull()))).alias("title"))
     return rows.join(hit, "sample_id", "left").groupBy("split", "title").agg(
         F.count(F.lit(1)).alias("records"), F.count("cover").alias("overlapping"), F.avg("cover").alias("mean_cover")
