@@ -40,7 +40,7 @@ def test_similar_pairs_against_brute_force(spark):
         rows += [(f"{c}-{i}", (centre + rng.standard_normal(64) * 0.2).tolist()) for i in range(8)]
     rows += [("zero", [0.0] * 64), ("nan", [float("nan")] * 64), ("short", [1.0] * 32), ("null", None), (None, rows[0][1]), rows[0], rows[0]]
     df = spark.createDataFrame([(i, v, None) for i, v in rows], "id string, v array<double>, field string")
-    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, {"v": "x"}, leaf=100).collect()}
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, {"v": "x"}, leaf=60).collect()}
     want = brute_pairs(rows)
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
@@ -59,7 +59,7 @@ def test_dense_group_keeps_the_nearest(n, cosine):
     unit = centre + noise * np.sqrt(1 / cosine - 1)
     unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
     at = np.arange(n)
-    i, j = neighbours.leaf_pairs(neighbours.code4(unit), np.ones(n, bool), at, at.astype(str).astype(object), 10, 0.9)
+    i, j = neighbours.leaf_pairs(neighbours.code4(unit), at, at, at.astype(str).astype(object), 10, 0.9)
     kept = set(zip(i.tolist(), j.tolist()))
     c = unit.astype(float) @ unit.T.astype(float)
     np.fill_diagonal(c, -1)
@@ -67,6 +67,46 @@ def test_dense_group_keeps_the_nearest(n, cosine):
     assert sum(x in kept for x in want) >= 0.999 * len(want)
 
 
+def test_queue_gives_the_nearest_leaves_of_all_trees():
+    rng = np.random.default_rng(4)
+    unit = rng.standard_normal((400, 16)).astype(np.float32)
+    trees, probes = 3, 5
+    forest = neighbours.fit_forest(unit, 400, trees, 50)
+    depth = forest["depth"]
+    assert depth == 3
+    homes, probed = neighbours.route(forest, unit[:40], probes)
+    proj = unit[:40] @ forest["directions"]
+    for i in range(40):
+        cost = {}
+        for t in range(trees):
+            for leaf in range(1 << depth, 2 << depth):
+                path = [leaf >> (depth - d) for d in range(depth + 1)]
+                x = [proj[i, t * depth + d] - forest["cuts"][t, path[d]] for d in range(depth)]
+                cost[leaf * trees + t] = sum(abs(x[d]) for d in range(depth) if (x[d] > 0) != bool(path[d + 1] & 1))
+        assert {k for k, c in cost.items() if c == 0} == set(homes[i].tolist())
+        want = sorted(c for c in cost.values() if c > 0)[:probes]
+        assert np.allclose([cost[x] for x in probed[i].tolist()], want, atol=1e-5)
+
+
+def test_clustered_vectors_leave_no_overfull_leaf():
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((200, 64))
+    unit = centres[rng.integers(0, 200, 60_000)] + 0.3 * rng.standard_normal((60_000, 64))
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    # the sample reaches 3 levels, a tenth of the depth that the table would need
+    forest = neighbours.fit_forest(unit[:64], 60_000, 2, 100)
+    homes, _ = neighbours.route(forest, unit, 0)
+    codes = neighbours.code4(unit)
+    for t in range(2):
+        for leaf in np.unique(homes[:, t]):
+            at = np.flatnonzero(homes[:, t] == leaf)
+            parts = neighbours.split_leaf(codes[at], np.ones(len(at), bool), np.arange(len(at)), 200)
+            assert max(len(m) for m, _ in parts) <= 200 and sum(len(m) for m, _ in parts) == sum(len(q) for _, q in parts) == len(at)
+            assert all(set(m.tolist()) == set(q.tolist()) for m, q in parts)
+    same = neighbours.split_leaf(np.repeat(codes[:1], 500, 0), np.ones(500, bool), np.arange(500), 200)
+    assert len(same) == 1 and len(same[0][0]) == 500
+
+
 def test_no_vectors(spark):
     assert neighbours.similar_pairs(spark.createDataFrame([], "id string, v array<double>"), {"v": "x"}).count() == 0
 

@@ -1,18 +1,18 @@
 """Problem 1: the most similar vectors of every vector, by a forest of random-projection trees.
 
 1. Fit: from a bounded sample (SAMPLE vectors a field) each of TREES trees gets random directions and, at each node, the
-   sample's median as threshold. The depth follows the number of rows, so that a leaf holds about LEAF vectors at any size;
-   levels below the sample's reach split at the node's mean.
-2. Route: every vector goes to its home leaf in each tree. Then one priority queue shared by all trees, ordered by the distance
-   to the threshold that a deviation crosses, gives its PROBES next leaves. Rows travel as 4-bit codes, packed into one
-   row for each (leaf, batch).
-3. Search: each leaf compares its vectors in blocks and keeps, for each vector, all that may be among its k nearest and may reach
+   sample's median as threshold. The depth follows the number of rows, as far as the sample reaches (8 of its vectors a leaf).
+2. Route: every vector goes to its home leaf in each tree. Then one priority queue shared by all trees, ordered by the sum of the distances
+   to the thresholds that a path crosses, gives its PROBES next leaves, best first; a leaf taken from the queue puts its own deviations into it. Rows travel as
+   4-bit codes, packed into one row for each (leaf, batch).
+3. Search: a leaf of over 2 * LEAF members is split further in its task, by random directions at the medians of its own members, so leaves stay near LEAF at any size of the
+   table. Each leaf compares its vectors in blocks and keeps, for each vector, all that may be among its k nearest and may reach
    the least similarity: coded cosines err by at most SLACK, so these are the ones within 2 * SLACK of the k-th best.
 4. Rerank: candidate pairs meet the vectors' 16-bit codes once more (error of the cosine below 1e-4) and the k best of each
    vector are taken.
 
-Copies: thresholds are medians, so only copies of one vector can overfill a leaf. Of equal vectors only the k + 1 least ids enter
-the comparison; any other copy's k most similar are the k least ids, at cosine 1. Groups that hold over 1 / HOT of all
+Copies: thresholds are medians, so only vectors of one code can overfill a leaf (vectors that differ but share a 4-bit code are compared with each other). Of equal
+vectors only the k + 1 least ids enter the comparison; any other copy's k most similar are the k least ids, at cosine 1. Groups that hold over 1 / HOT of all
 rows (so at most HOT a field) leave before the search, all others inside their leaf.
 
 Usable vectors have WIDTH finite values, not all zero. Defined cases: null or unusable vectors and null ids take no part; an id counts once
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH, K, LEAST = 64, 10, 0.90
-SAMPLE, TREES, LEAF, PROBES, HOT, SEED = 20_000, 9, 1500, 1, 1000, 17
+SAMPLE, TREES, LEAF, PROBES, HOT, SEED = 20_000, 7, 1500, 3, 1000, 17
 SLACK = 0.06  # three standard errors of a cosine of 4-bit codes
 
 
@@ -62,65 +62,68 @@ def _unit(column: pa.Array, width: int):
 
 
 def fit_forest(sample, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> dict:
-    """Directions (width x trees*depth) and thresholds (trees x nodes) from the sample (n x width)."""
+    """Directions (width x trees*depth) and thresholds (trees x nodes, in heap order, node 1 being the root) from the sample (n x width)."""
     import numpy as np
 
-    depth = max(0, min(24, math.ceil(math.log2(max(1, rows) / leaf))))
+    reach = max(0, int(math.log2(max(1, len(sample)) / 8))) if len(sample) >= 8 else 0
+    depth = max(0, min(reach, math.ceil(math.log2(max(1, rows) / leaf))))
     rng = np.random.default_rng(seed)
-    width = sample.shape[1]
-    directions = rng.standard_normal((width, trees * depth)).astype(np.float32)
+    directions = rng.standard_normal((sample.shape[1], trees * depth)).astype(np.float32)
     directions /= np.maximum(np.linalg.norm(directions, axis=0, keepdims=True), 1e-9) if depth else 1
-    reach = min(depth, max(0, int(math.log2(max(1, len(sample)) / 8)))) if len(sample) else 0
     proj = sample @ directions
-    cuts = np.zeros((trees, 1 << reach), np.float32)  # heap order, node 1 is the root
-    below = np.zeros((trees, depth), np.float32)
+    cuts = np.zeros((trees, 1 << depth), np.float32)
     for t in range(trees):
         node = np.ones(len(sample), np.int64)
         for d in range(depth):
             x = proj[:, t * depth + d]
-            if d >= reach:
-                below[t, d] = np.median(x) if len(x) else 0
-                continue
             order = np.lexsort((x, node))
             groups, first, count = np.unique(node[order], return_index=True, return_counts=True)
             cuts[t, groups] = (x[order][first + (count - 1) // 2] + x[order][first + count // 2]) / 2
             node = 2 * node + (x > cuts[t, node])
-    return {"directions": directions, "cuts": cuts, "below": below, "depth": depth, "reach": reach, "trees": trees}
+    return {"directions": directions, "cuts": cuts, "depth": depth, "trees": trees}
 
 
 def route(forest: dict, unit, probes: int = PROBES):
     """(tree, leaf) of each vector: homes (n x trees), and the probes best leaves of the queue shared by all trees (n x probes)."""
     import numpy as np
 
-    n, depth, trees, reach = len(unit), forest["depth"], forest["trees"], forest["reach"]
+    n, depth, trees = len(unit), forest["depth"], forest["trees"]
     if not depth:
         return np.zeros((n, trees), np.int64) + np.arange(trees), np.zeros((n, 0), np.int64)
-    proj = unit @ forest["directions"]
-
-    def walk(t: int, node, start: int):
-        margins = np.zeros((n, depth), np.float32)
-        for d in range(start, depth):
-            cut = forest["cuts"][t, node] if d < reach else forest["below"][t, d]
-            x = proj[:, t * depth + d] - cut
-            margins[:, d] = x
-            node = 2 * node + (x > 0)
-        return node, margins
-
-    homes, queue, leaves = np.empty((n, trees), np.int64), [], []
+    proj, row = unit @ forest["directions"], np.arange(n)
+
+    def walk(tree, node, start):
+        """Down from a node at level start (each an array): the leaf, the margins crossed and the siblings left aside at each level."""
+        margins, aside = np.full((n, depth), np.inf, np.float32), np.zeros((n, depth), np.int64)
+        for d in range(depth):
+            go = d >= start
+            x = proj[row, tree * depth + d] - forest["cuts"][tree, np.where(go, node, 1)]
+            down = 2 * node + (x > 0)
+            margins[:, d] = np.where(go, np.abs(x), np.inf)
+            aside[:, d] = np.where(go, down ^ 1, 0)
+            node = np.where(go, down, node)
+        return node, margins, aside
+
+    homes, costs, nodes, of = np.empty((n, trees), np.int64), [], [], []
     for t in range(trees):
-        home, margins = walk(t, np.ones(n, np.int64), 0)
-        homes[:, t] = home * trees + t
-        if not probes:
-            continue
-        for d in range(depth):  # the deviation at level d, then down as usual
-            side = (home >> (depth - d - 1)) ^ 1
-            queue.append(np.abs(margins[:, d]))
-            leaves.append((walk(t, side, d + 1)[0] if d + 1 < depth else side) * trees + t)
-    if not probes:
-        return homes, np.zeros((n, 0), np.int64)
-    q, at = np.stack(queue, 1), np.stack(leaves, 1)
-    best = np.argpartition(q, min(probes, q.shape[1]) - 1, axis=1)[:, :probes]
-    return homes, np.take_along_axis(at, best, 1)
+        leaf, margins, aside = walk(np.full(n, t), np.ones(n, np.int64), np.zeros(n, np.int64))
+        homes[:, t] = leaf * trees + t
+        costs.append(margins)
+        nodes.append(aside)
+        of += [t * depth + d for d in range(depth)]
+    cost, node, place = np.hstack(costs), np.hstack(nodes), np.tile(np.array(of), (n, 1))
+    probed = np.empty((n, probes), np.int64)
+    for p in range(probes):
+        best = cost.argmin(1)
+        spent, side, at = cost[row, best], node[row, best], place[row, best]
+        cost[row, best] = np.inf
+        tree, level = at // depth, at % depth
+        leaf, margins, aside = walk(tree, side, level + 1)
+        probed[:, p] = leaf * trees + tree
+        if p + 1 < probes:  # the leaf's own deviations join the queue
+            cost, node = np.hstack([cost, spent[:, None] + margins]), np.hstack([node, aside])
+            place = np.hstack([place, tree[:, None] * depth + np.arange(depth)])
+    return homes, probed
 
 
 def code4(unit):
@@ -197,17 +200,18 @@ def _packed(forest_of: dict, fields: list[str], width: int, probes: int):
 PACKED = "field string, leaf bigint, ids array<string>, member binary, codes binary, keys binary"
 
 
-def leaf_pairs(codes, member, query, ids, k: int, least: float, slack: float = SLACK):
-    """(i, j) of candidates: j may be among the k members nearest to i and no further than least, by the coding error. In blocks of 512 queries."""
+def leaf_pairs(codes, m, query, ids, k: int, least: float, slack: float = SLACK):
+    """(i, j) of candidates among positions (members m, queries): j may be among the k members nearest to i and no further than least, by the coding error. In blocks of 512 queries."""
     import numpy as np
 
-    unit = decode4(codes)
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-    m = np.flatnonzero(member)
-    left, right = [], []
+    def unit(at):
+        u = decode4(codes[at])
+        return u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-9)
+
+    members, left, right = unit(m), [], []
     for s in range(0, len(query), 512):
         q = query[s : s + 512]
-        c = unit[q] @ unit[m].T
+        c = unit(q) @ members.T
         i, j = np.nonzero(c >= least - slack)
         other = ids[q[i]] != ids[m[j]]
         i, j = i[other], j[other]
@@ -225,7 +229,37 @@ def leaf_pairs(codes, member, query, ids, k: int, least: float, slack: float = S
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _search(k: int, least: float, width: int):
+def split_leaf(codes, member, query, most: int, seed: int = SEED):
+    """Parts (members, queries) of a leaf with at most `most` members each, as positions: split by random directions at the medians of the members. A part whose members
+    all have one code stays whole."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    todo, out = [(np.flatnonzero(member), query)], []
+    while todo:
+        m, q = todo.pop()
+        if len(m) <= most:
+            out.append((m, q))
+            continue
+        for _ in range(4):
+            w = rng.standard_normal(2 * codes.shape[1]).astype(np.float32)
+            xm = decode4(codes[m]) @ w
+            cut = np.median(xm)
+            high = xm > cut
+            if not high.any():  # more than half share the greatest value
+                high = xm >= cut
+            if high.any() and not high.all():
+                break
+        else:
+            out.append((m, q))
+            continue
+        xq = decode4(codes[q]) @ w
+        above = xq > cut if (xm[high] > cut).all() else xq >= cut
+        todo += [(m[high], q[above]), (m[~high], q[~above])]
+    return out
+
+
+def _search(k: int, least: float, width: int, leaf: int = LEAF):
     def run(key, table):
         import numpy as np
 
@@ -247,7 +281,7 @@ def _search(k: int, least: float, width: int):
         copies = [(e, h) for e in extra for h in heads[vector[e]]]
         query = np.flatnonzero(nth <= k)
         member &= nth <= k
-        i, j = leaf_pairs(codes, member, query, ids, k, least)
+        i, j = (np.concatenate(x) for x in zip(*(leaf_pairs(codes, m, q, ids, k, least) for m, q in split_leaf(codes, member, query, 2 * leaf)), strict=True))
         if copies:
             i, j = np.r_[i, [x for x, _ in copies]], np.r_[j, [x for _, x in copies]]
         # ids are sorted, so their numbers compare as they do; a dense leaf may give millions of pairs
@@ -338,7 +372,7 @@ def similar_pairs(
         return _packed(sent.value, fields, width, probes)(batches)
 
     packs = search.mapInArrow(packed, PACKED)
-    found = packs.groupBy("field", "leaf").applyInArrow(_search(k, least, width), "field string, id_a string, id_b string")
+    found = packs.groupBy("field", "leaf").applyInArrow(_search(k, least, width, leaf), "field string, id_a string, id_b string")
     pairs = found.distinct()
     codes = search.mapInArrow(_codes16(fields, width), "field string, id string, code binary").groupBy("field", "id").agg(F.max("code").alias("code"))
     a = codes.select("field", F.col("id").alias("id_a"), F.col("code").alias("code_a"))
