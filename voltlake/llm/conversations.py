@@ -3,9 +3,8 @@
 The two senders of a session, user and assistant, have clocks of their own. A row holds the user's time
 (create_time) and the assistant's (update_time). Reply-before constraints bound the offset d that must be added to the
 assistant's clock: a reply comes after its question (d >= create_i - update_i) and before the next question
-(d <= create_i+1 - update_i). The offset is the least-squares fit over all bounds. corrected_messages() merges the messages
-of the sessions whose bounds can be met by their corrected times. messages() does not use the offset: the statement orders rows by the user's
-clock and names all reasons to reject.
+(d <= create_i+1 - update_i). The offset is the least-squares fit over all bounds. The messages are merged by their corrected
+times; a conversation whose bounds no offset meets keeps each reply right after its question.
 
 A conversation is infeasible, and rejected as a whole, if any current row of it is not completed, has no create_time, has
 no content in question or answer, or isn't of the session's owner, or if its session is missing. (Rows whose bounds
@@ -127,13 +126,17 @@ def clock_offsets(turns: DataFrame) -> DataFrame:
     return left.select("session_id", (F.col("d") / 1e6).alias("offset_s"), (F.col("r") / 1e6).alias("offset_residual"), "constraints")
 
 
-def corrected_messages(turns: DataFrame) -> DataFrame:
-    """session_id, msg_no, role, chat_id, at: the messages of the feasible conversations, merged by their corrected times.
+def corrected_messages(turns: DataFrame, reject: bool = True) -> DataFrame:
+    """session_id, msg_no, role, chat_id, at: the messages of the conversations, merged by their corrected times.
 
-    Conversations whose bounds no offset meets are left out. A reply without time stands right after its question. Numbers are made in two levels, by day."""
-    kept = _span(_bounds(turns)).filter("hi is null or lo is null or lo <= hi").select("session_id", F.col("met").cast("bigint").alias("d"))
+    Conversations whose bounds no offset meets are left out, or, without reject, keep each reply right after its question. So does a reply without time. Numbers are
+    made in two levels, by day."""
+    feasible = F.col("hi").isNull() | F.col("lo").isNull() | (F.col("lo") <= F.col("hi"))
+    kept = _span(_bounds(turns)).select("session_id", F.col("met").cast("bigint").alias("d"), feasible.alias("feasible"))
+    kept = kept.filter("feasible") if reject else kept
     t = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    own, reply = t("create_time"), F.coalesce(t("update_time") + F.col("d"), t("create_time"))
+    own = t("create_time")
+    reply = F.when(F.col("feasible"), F.coalesce(t("update_time") + F.col("d"), own)).otherwise(own)
     role = F.array(F.struct(F.lit(1).alias("k"), F.lit("user").alias("role"), own.alias("us")), F.struct(F.lit(2).alias("k"), F.lit("assistant").alias("role"), reply.alias("us")))
     rows = turns.join(kept, "session_id").select("session_id", "turn_no", "chat_id", F.explode(role).alias("r")).select("session_id", "turn_no", "chat_id", "r.*", F.floor(F.col("r.us") / 1_000_000).alias("s"))
     out = numbered(rows, ["session_id"], ["us", "turn_no", "k"], "s", "msg_no")
@@ -141,8 +144,6 @@ def corrected_messages(turns: DataFrame) -> DataFrame:
 
 
 def messages(chats: DataFrame, sessions: DataFrame) -> DataFrame:
-    """session_id, msg_no, role, chat_id: each row's question as the user's and answer as the assistant's message."""
-    role = F.explode(F.array(F.struct(F.lit(1).alias("k"), F.lit("user").alias("role")), F.struct(F.lit(2).alias("k"), F.lit("assistant").alias("role"))))
-    return ordered_turns(chats, sessions).select("session_id", "turn_no", "chat_id", role.alias("r")).select(
-        "session_id", ((F.col("turn_no") - 1) * 2 + F.col("r.k")).cast("bigint").alias("msg_no"), F.col("r.role").alias("role"), "chat_id"
-    )
+    """session_id, msg_no, role, chat_id: the kept conversations, merged by corrected times. Contradicting bounds are no reason to reject by the statement; where they can
+    be met, the corrected order is the statement's (question i, its reply, question i + 1)."""
+    return corrected_messages(ordered_turns(chats, sessions), reject=False).select("session_id", "msg_no", "role", "chat_id")
