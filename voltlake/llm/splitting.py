@@ -98,8 +98,9 @@ def pieces(text: str, max_size: int = MAX_SIZE, min_size: int = MIN_SIZE) -> lis
     return out
 
 
-def split_texts(chunks: DataFrame, max_size: int = MAX_SIZE, min_size: int = MIN_SIZE) -> DataFrame:
-    """The pieces of each text of over max_size characters, with its headings. Only those rows are repartitioned and reach Python."""
+def split_texts(chunks: DataFrame, max_size: int = MAX_SIZE, min_size: int = MIN_SIZE, once: bool = True) -> DataFrame:
+    """The pieces of each text of over max_size characters, with its headings. Only those rows reach Python. Repeated rows are one only with once, which shuffles
+    the long texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,8 +111,8 @@ def split_texts(chunks: DataFrame, max_size: int = MAX_SIZE, min_size: int = MIN
             ]
             yield pd.DataFrame(rows, columns=["chunk_id", "piece_no", "start", "overlap", "text", "hard", "chapter_title", "section_title"])
 
-    long = chunks.select("chunk_id", "text", "chapter_title", "section_title").filter(F.length("text") > max_size).distinct()
-    return long.mapInPandas(run, SCHEMA)
+    long = chunks.select("chunk_id", "text", "chapter_title", "section_title").filter(F.length("text") > max_size)
+    return (long.distinct() if once else long).mapInPandas(run, SCHEMA)
 
 
 def cut_kinds(pieces_df: DataFrame) -> DataFrame:
