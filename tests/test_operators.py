@@ -279,6 +279,9 @@ def test_mojibake(spark):
     bad = "断路器".encode("gb18030").decode("latin-1")
     df = spark.createDataFrame([(f"a {bad} b",), ("plain café",), (None,)], "t string")
     assert [r.o for r in df.select(etl.repair_mojibake("t").alias("o")).collect()] == ["a 断路器 b", "plain café", None]
+    for word in ("凍結", "國產繼電器", "x凍y結z"):  # trail bytes that are ASCII
+        assert etl.repaired(word.encode("gb18030").decode("latin-1")) == word
+    assert etl.repaired("") == "" and etl.repaired("变压器 ok") == "变压器 ok"
 
 
 def test_object_name(spark):

@@ -156,19 +156,25 @@ def greedy_json(text: Column) -> Column:
     return F.when((s != "") & F.try_parse_json(s).isNotNull(), s)
 
 
-@F.pandas_udf(StringType())
-def repair_mojibake(text: pd.Series) -> pd.Series:
-    """Runs of Latin-1 signs that read as GB18030 give Han signs are read so; all else stays."""
-    import re
+def repaired(text: str) -> str:
+    """Stretches of signs below 256 with at least one above 127 are read as GB18030 if that works and gives a Han sign. A stretch is taken whole, as trail bytes may be ASCII."""
+    out, start = [], 0
+    bounds = [i for i in range(1, len(text)) if (text[i] < "\u0100") != (text[i - 1] < "\u0100")]
+    for end in [*bounds, len(text)]:
+        piece, start = text[start:end], end
+        if piece and piece[0] < "\u0100" and not piece.isascii():
+            try:
+                read = piece.encode("latin-1").decode("gb18030")
+            except UnicodeDecodeError:
+                read = ""
+            piece = read if any("\u4e00" <= c <= "\u9fff" for c in read) else piece
+        out.append(piece)
+    return "".join(out)
 
-    def seg(m):
-        try:
-            x = m[0].encode("latin-1").decode("gb18030")
-        except UnicodeError:
-            return m[0]
-        return x if re.search("[一-鿿]", x) else m[0]
 
-    return text.map(lambda t: None if t is None else re.sub(r"[\x80-\xff]{2,}", seg, t))
+@F.pandas_udf(StringType())
+def repair_mojibake(text: pd.Series) -> pd.Series:
+    return text.map(repaired, na_action="ignore")
 
 
 def with_old_values(new: DataFrame, old: DataFrame, keys: list[str], value: str) -> DataFrame:

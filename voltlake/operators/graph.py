@@ -67,6 +67,46 @@ def entities(names: Column) -> Column:
     return F.when(F.size(out) >= 2, out)
 
 
+def route(hits: Column, least: float = 0.4) -> Column:
+    """Nodes to pass of aligned entities (array of node, score, in order): the first is the start, the last the end. Null if either is under `least`; weak ones between are dropped."""
+    n = F.size(hits)
+    good = lambda h: h["node"].isNotNull() & (h["score"] >= least)
+    between = F.filter(F.slice(hits, 2, F.greatest(n - 2, F.lit(0))), good)
+    stops = F.transform(F.concat(F.slice(hits, 1, 1), between, F.slice(hits, -1, 1)), lambda h: h["node"])
+    return F.when((n >= 2) & F.coalesce(good(hits[0]) & good(F.element_at(hits, -1)), F.lit(False)), stops)
+
+
+def named_nodes(nodes: DataFrame, names: list[str], labels: list[str]) -> list[DataFrame]:
+    """For each stop the nodes (node_id, label, name) of its label and name; ValueError if the lists differ in length or have fewer than two."""
+    if len(names) != len(labels) or len(names) < 2:
+        raise ValueError("as many labels as names, and two at least")
+    return [nodes.filter((F.col("label") == lb) & (F.col("name") == nm)).select(F.col("node_id").alias("node")) for nm, lb in zip(names, labels)]
+
+
+def routed(edges: DataFrame, routes: DataFrame, hops: int = MOST) -> DataFrame:
+    """request_id, nodes, edge_ids: all trails that pass the stops of each route (request_id, stops) in order, each leg of 1 to `hops` edges; over the whole no edge repeats.
+
+    The legs of all routes are searched at once; then each route puts its legs together, one after the other."""
+    from voltlake.session import cut
+
+    r = routes.filter(F.size("stops") >= 2)
+    i = F.sequence(F.lit(1), F.size("stops") - 1)
+    legs = cut(r.select("request_id", F.posexplode(F.transform(i, lambda k: F.struct(F.element_at("stops", k).alias("a"), F.element_at("stops", k + 1).alias("b")))).alias("leg", "ab")).select("request_id", "leg", "ab.a", "ab.b"))
+    found = trails(edges, legs.select(F.col("a").alias("node")), legs.select(F.col("b").alias("node")), hops)
+    found = cut(found.select(F.col("start").alias("a"), F.col("node").alias("b"), F.col("nodes").alias("n2"), F.col("edge_ids").alias("e2")).join(legs.select("a", "b").distinct(), ["a", "b"], "left_semi"))
+    longest = legs.agg(F.max("leg")).first()[0]
+    walked = legs.groupBy("request_id").agg(F.max("leg").alias("last"))
+    now = legs.filter("leg = 0").join(found, ["a", "b"]).select("request_id", F.col("n2").alias("nodes"), F.col("e2").alias("edge_ids"))
+    out = None
+    for k in range((longest if longest is not None else -1) + 1):
+        if k:
+            nxt = legs.filter(F.col("leg") == k).join(found, ["a", "b"]).select("request_id", "n2", "e2")
+            now = now.join(nxt, "request_id").filter(~F.arrays_overlap("edge_ids", "e2")).select("request_id", F.concat("nodes", F.slice("n2", 2, F.size("n2"))).alias("nodes"), F.concat("edge_ids", "e2").alias("edge_ids"))
+        done = now.join(walked.filter(F.col("last") == k).select("request_id"), "request_id", "left_semi")
+        out = done if out is None else out.unionByName(done)
+    return now.limit(0) if out is None else out
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """node, component: the least node reachable over edges (a, b) either way, by propagation of the least label with doubling."""
     from voltlake.session import cut

@@ -10,6 +10,7 @@ from voltlake.operators.knn import exact_knn
 from voltlake.plans.base import CHUNK_TEXTS, CHUNKS_SQL, DOCS_SQL, chunk_texts, docs
 from voltlake.session import table
 
+CITES = "接线见图 3-1，数据见表 2-4.1、图 3-1。"
 HEADINGS = ["title", "chapter_title", "section_title", "third_title", "fourth_title", "text"]
 
 
@@ -84,8 +85,9 @@ def toc_pages(spark, d):
 
 
 def reference_lists(spark, d):
-    """DOC-20, 22"""
-    return docs(spark, d).select("doc_id", F.array_join(T.references(F.col("text")), ",").alias("refs")).filter("refs <> ''")
+    """DOC-20: figure and table references in order, each once; a third of the texts cite some."""
+    text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, CITES).otherwise(""))
+    return docs(spark, d).select("doc_id", F.array_join(T.references(text), ",").alias("refs")).filter("refs <> ''")
 
 
 def answer_slices(spark, d):
@@ -220,6 +222,7 @@ def _bare(x: str) -> str:
     return rf"regexp_replace(trim({x}), '([\x{{4e00}}-\x{{9fff}}])[ \x{{3000}}]+', '\1', 'g')"
 
 
+LINES_SQL, LEVEL_SQL = _LINES, _LEVEL  # shared with the page queries
 _D = f"WITH {DOCS_SQL}, {_LINES}"
 _CH = f"WITH {CHUNKS_SQL}"
 SQL = {
@@ -236,7 +239,7 @@ SQL = {
     "line_size_quantile": f"{_D}, g AS (SELECT source, least(length(line), 400) AS size, sum(least(length(line), 120)) AS w FROM ln WHERE source IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, sum(w) OVER (PARTITION BY source ORDER BY size) AS run, sum(w) OVER (PARTITION BY source) AS al FROM g) SELECT source, min(size) AS size FROM r WHERE run >= al * 0.75 GROUP BY 1",
     "trailing_pages": f"WITH {DOCS_SQL}, p AS (SELECT source, doc_id, {_EFF('text')} AS chars FROM t), l AS (SELECT source, max(doc_id) FILTER (chars >= 400) AS last FROM p GROUP BY 1) SELECT p.source, doc_id FROM p JOIN l ON l.source = p.source WHERE last IS NULL OR doc_id > last",
     "toc_pages": rf"{_D} SELECT doc_id, count(*) FILTER (regexp_matches(line, '[.…·]{{3,}}[ ]*[0-9]+$')) AS leaders, count(*) FILTER (regexp_matches(line, '[。！？!?]')) AS sentences, count(*) FILTER (({_LEVEL}) IS NOT NULL) AS headings, count(*) FILTER (regexp_matches(line, '^[ \x{{3000}}]*(?:-[ ]*)?(?:第[ ]*)?[0-9]{{1,4}}(?:[ ]*页)?(?:[ ]*-)?[ \x{{3000}}]*$')) AS page_numbers, count(*) FILTER (regexp_matches(line, '^[ \x{{3000}}]*(?:图|表|附图|附表|Figure|Fig\.|Table)[ \x{{3000}}]*[0-9]+')) AS captions FROM ln GROUP BY 1",
-    "reference_lists": rf"WITH {DOCS_SQL}, x AS (SELECT doc_id, regexp_extract_all(text, '[图表][ ]?[0-9]+(?:[.-][0-9]+)*') AS l FROM t), y AS (SELECT doc_id, v, min(i) AS i FROM (SELECT doc_id, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM x) GROUP BY 1, 2) SELECT doc_id, string_agg(v, ',' ORDER BY i) AS refs FROM y GROUP BY 1",
+    "reference_lists": rf"WITH {DOCS_SQL}, x AS (SELECT doc_id, regexp_extract_all(text || CASE WHEN doc_id % 3 = 0 THEN '接线见图 3-1，数据见表 2-4.1、图 3-1。' ELSE '' END, '[图表][ ]?[0-9]+(?:[.-][0-9]+)*') AS l FROM t), y AS (SELECT doc_id, v, min(i) AS i FROM (SELECT doc_id, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM x) GROUP BY 1, 2) SELECT doc_id, string_agg(v, ',' ORDER BY i) AS refs FROM y GROUP BY 1",
     "answer_slices": f"WITH {DOCS_SQL}, n AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 400.0) AS BIGINT))) AS i FROM t) SELECT doc_id, i::INTEGER AS pos, md5(substring(text, i * 400 + 1, 400)) AS digest FROM n",
     "file_routes": f"WITH {DOCS_SQL} SELECT doc_id, CASE WHEN title IS NULL OR title = '' THEN 'null' WHEN contains(lower(title), '.pdf') THEN 'pdf' WHEN contains(lower(title), '.docx') THEN 'docx' WHEN contains(lower(title), '.doc') THEN 'doc' ELSE 'unsupported' END AS kind FROM t",
     "json_greedy": "SELECT event_id, props->>'$.k' AS k FROM events",

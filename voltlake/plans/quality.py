@@ -226,6 +226,11 @@ _GOLD = f"g AS (SELECT request_id, question_type, content_sufficient AS e, NOT {
 _Q = r"regexp_replace(coalesce(question, ''), '^[ \t\r\n\x{3000}]+|[ \t\r\n\x{3000}]+$', '', 'g')"
 
 
+# Shared with the evaluation record and the parsed messages.
+SAMPLES_SQL = _SAMPLES
+AN_SQL, REL_SQL, COVERAGE_SQL, FORM_SQL, HAN_SQL, SIGNALS_SQL = _AN, _REL, (_REQUIRED, _COVERED, _COV), _FORM, _HANS, _count("coalesce(answer, '')", Q.REFUSAL_SIGNALS)
+
+
 def _score(expr: str) -> str:
     return f"WITH {_AN} SELECT request_id, round({expr}, 6) AS score FROM an"
 

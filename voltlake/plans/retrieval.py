@@ -287,6 +287,7 @@ _SUBS = r"""sp AS (SELECT request_id, text, list_filter(list_transform(string_sp
  sq AS (SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY i) AS INTEGER) AS sub_no, s AS sub_query FROM un
    UNION ALL SELECT request_id, 1, coalesce(text, '') FROM sp WHERE len(l) = 0),
  subs AS (SELECT * FROM sq WHERE sub_no <= 5)"""
+SUBS_SQL = _SUBS
 _SUBV = f"SELECT s.request_id * 10 + s.sub_no AS request_id, x.v FROM subs s JOIN ({_QV}) x ON x.request_id = s.request_id"
 _SUBHITS = f"""{_BASE} {_SUBS}, sr AS (SELECT request_id * 10 + sub_no AS request_id, sub_query AS text FROM subs), {keywords_sql('sr', 'srk')}, {hybrid_sql('srk', _SUBV, fusion.candidate_depth(5), max(5, TOPK), -1.0)},
  dp AS (SELECT request_id, greatest(5, CAST(ceil({TOPK} / count(*)::DOUBLE) AS BIGINT)) AS depth FROM subs GROUP BY 1),

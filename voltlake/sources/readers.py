@@ -21,9 +21,17 @@ def _reject(bad: DataFrame, what: str) -> None:
         raise InvalidInput(f"{what}: {[r.asDict() for r in rows]}")
 
 
-def json_array(spark: SparkSession, path: str, schema: StructType | str, key: str | None = None) -> DataFrame:
-    """Rows of files that hold one JSON array each; with key, ids must be there and differ."""
+def _line_number(spark: SparkSession, file: str, value: str) -> int | None:
+    """The number of the first line with this text in a file. Only a file that broke the read is looked through."""
+    whole = spark.read.text(file, wholetext=True).select(F.array_position(F.split("value", "\r\n|\n|\r"), value).alias("n")).first()
+    return int(whole.n) if whole and whole.n else None
+
+
+def json_array(spark: SparkSession, path: str, schema: StructType | str, key: str | None = None, some: bool = False) -> DataFrame:
+    """Rows of files that hold one JSON array each; with key, ids must be there and differ; with some, there must be rows."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+    if some and df.isEmpty():
+        raise InvalidInput(f"{path}: no rows")
     if key:
         _reject(df.filter(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == "").select(key), f"{key} is missing")
         _reject(df.groupBy(key).count().filter("count > 1"), f"{key} is not unique")
@@ -31,9 +39,10 @@ def json_array(spark: SparkSession, path: str, schema: StructType | str, key: st
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of JSON lines; blank lines are skipped, a line that isn't JSON stops the read with its text; rows with a blank required field are left out."""
+    """Rows of JSON lines; blank lines are skipped, a line that isn't JSON stops the read with its file, number and text; rows with a blank required field are left out."""
     text = spark.read.text(path).filter(F.trim("value") != "")
-    _reject(text.filter(F.try_parse_json("value").isNull()).select(F.substring("value", 1, 80).alias("line")), "not JSON")
+    if bad := text.filter(F.try_parse_json("value").isNull()).select(F.input_file_name().alias("file"), "value").limit(5).collect():
+        raise InvalidInput(f"not JSON: {[{'file': r.file, 'line': _line_number(spark, r.file, r.value), 'text': r.value[:80]} for r in bad]}")
     df = text.select(F.from_json("value", schema if isinstance(schema, str) else schema.json()).alias("r")).select("r.*")
     for c in required:
         df = df.filter(F.coalesce(F.trim(c), F.lit("")) != "")
