@@ -148,7 +148,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
         marks = pa.array([[_key(x) for x in figure_keys(t[3])] for t in texts], pa.list_(pa.int64()))
         rest = b.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(classes, pa.binary()), marks, flat], names=[*rest.schema.names, "cls", "figures", "seeds"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(classes, pa.binary()), pa.array([int.from_bytes(c[:8], "little", signed=True) for c in classes], pa.int64()), marks, flat], names=[*rest.schema.names, "cls", "c", "figures", "seeds"])
 
 
 def _key(text: str) -> int:
@@ -286,28 +286,30 @@ def class_overlaps(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     from voltlake.session import cut
 
     rows = records(samples).select("sample_id", "split", (F.col("side") == "train").alias("train"), "question", "answer")
-    text = rows.mapInArrow(_fold, "sample_id string, split string, train boolean, question string, answer string, cls binary, figures array<bigint>, seeds array<bigint>")
+    text = rows.mapInArrow(_fold, "sample_id string, split string, train boolean, question string, answer string, cls binary, c bigint, figures array<bigint>, seeds array<bigint>")
     text = cut(text)  # one row a record, read for the members, the seeds and the texts
     members = text.select("cls", "train", "sample_id", "split")
-    classes = text.groupBy("cls", "train").agg(F.min(F.struct("sample_id", "question", "answer")).alias("r"), F.first("figures").alias("figures"), F.first("seeds").alias("seeds"))
-    classes = cut(classes.select("cls", "train", "r.question", "r.answer", "figures", "seeds"))
-    sown = classes.select("cls", "train", F.size("seeds").alias("size"), F.explode("figures").alias("figures"), "seeds").select("cls", "train", "size", "figures", F.explode("seeds").alias("seed"))
-    counts = sown.groupBy("figures", "seed").agg(F.count(F.lit(1)).alias("n"), F.count_if("train").alias("trains")).filter("n > 1")
-    met = sown.join(counts, ["figures", "seed"])
+    classes = text.groupBy("cls", "train").agg(F.min(F.struct("sample_id", "question", "answer")).alias("r"), *[F.first(c).alias(c) for c in ("c", "figures", "seeds")])
+    classes = cut(classes.select("cls", "c", "train", "r.question", "r.answer", "figures", "seeds"))
+    # the many rows of seeds are three numbers: c stands for the class (equal ones of two classes give a candidate more, no case less), key for figures and seed, and m
+    # for the number of seeds, the place of the figures and the side
+    sown = classes.select("c", F.posexplode("figures").alias("place", "figures"), "seeds", (F.size("seeds") * 4 + F.col("train").cast("int")).alias("m"))
+    sown = sown.select("c", (F.col("m") + 2 * F.col("place")).alias("m"), "figures", F.explode("seeds").alias("seed")).select("c", "m", F.xxhash64("figures", "seed").alias("key"))
+    counts = sown.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("m") % 2 == 1).alias("trains")).filter("n > 1")
+    met = sown.join(counts, "key")
     # seeds of one record only are its rarest and meet nothing, so the others are ranked from the most frequent down
-    down = F.row_number().over(Window.partitionBy("cls", "train", "figures").orderBy(F.desc("n"), F.desc("seed")))
-    rare = met.withColumn("rank", F.col("size") - down + 1).filter((F.col("rank") <= F.ceil(F.col("size") * RARE) + 1) & (F.col("trains") > 0) & (F.col("n") > F.col("trains")))
-    rare = rare.select("cls", "train", "figures", "seed", F.greatest(F.lit(1), F.ceil(F.col("trains") / HOT)).cast("int").alias("salts"))
+    size, down = F.floor(F.col("m") / 4), F.row_number().over(Window.partitionBy("c", "m").orderBy(F.desc("n"), F.desc("key")))
+    rare = met.withColumn("rank", size - down + 1).filter((F.col("rank") <= F.ceil(size * RARE) + 1) & (F.col("trains") > 0) & (F.col("n") > F.col("trains")))
+    rare = rare.select("c", (F.col("m") % 2 == 1).alias("train"), "key", F.greatest(F.lit(1), F.ceil(F.col("trains") / HOT)).cast("int").alias("salts"))
     # of a hot seed each train record stands under one salt, each other record under all: every pair meets once
-    a = rare.filter("train").select(F.col("cls").alias("cls_a"), "figures", "seed", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"))
-    b = rare.filter("not train").select(F.col("cls").alias("cls_b"), "figures", "seed", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = a.join(b, ["figures", "seed", "salt"]).groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= MIN_SHARED)
-    pairs = pairs.select("cls_a", "cls_b").filter("cls_a != cls_b")
+    a = rare.filter("train").select(F.col("c").alias("c_a"), "key", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"))
+    b = rare.filter("not train").select(F.col("c").alias("c_b"), "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = a.join(b, ["key", "salt"]).filter("c_a != c_b").groupBy("c_a", "c_b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= MIN_SHARED).select("c_a", "c_b")
 
     def side(train: bool, x: str) -> DataFrame:
-        return classes.filter(F.col("train") == train).select(F.col("cls").alias(f"cls_{x}"), F.col("question").alias(f"q_{x}"), F.col("answer").alias(f"a_{x}"))
+        return classes.filter(F.col("train") == train).select(F.col("c").alias(f"c_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("question").alias(f"q_{x}"), F.col("answer").alias(f"a_{x}"))
 
-    near = pairs.join(side(True, "a"), "cls_a").join(side(False, "b"), "cls_b").mapInPandas(_extend, "cls_a binary, cls_b binary, cover_q double, cover_a double")
+    near = pairs.join(side(True, "a"), "c_a").join(side(False, "b"), "c_b").mapInPandas(_extend, "cls_a binary, cls_b binary, cover_q double, cover_a double")
     same = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"), F.lit(1.0).alias("cover_q"), F.lit(1.0).alias("cover_a"))
     return near.unionByName(same), members
 
