@@ -330,11 +330,25 @@ def test_token_ids(spark):
     assert all(tokens.decode(got[i], by_id) == t for i, t in enumerate(TEXTS) if t)
 
 
-def test_plain_fold_agrees():
+def test_merges_agree_with_the_plain_fold():
+    import random
+
+    rng, r = random.Random(5), tokens.ranks()
+    words = ["hello", " world", "断路器的环境湿度", "ééé", "123456", "transformer", "a", "aaaa", "aaaaaaaaaaaaaaa", "ababababa", "😀😀😀", " " * 40, "=" * 33, "变" * 50]
+    words += ["".join(rng.choice("aeiountrs电压器测试é") for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    raw = [w.encode() for w in words] + [bytes(rng.randrange(256) for _ in range(rng.randint(1, 20))) for _ in range(200)]
+    assert tokens.Merges(r).fold(raw) == [tokens.fold(w, r) for w in raw]
+    assert tokens.Merges(r).fold([]) == []
+
+
+def test_batches_and_full_cache(monkeypatch):
     r = tokens.ranks()
+    texts = [f"断路器{i}号 breaker number {i} of bay {i % 3}." for i in range(60)] + [None, "", "x" * 200]
+    want = [[x for w in tokens.WordFolder()._words.findall(t or "") for x in tokens.fold(w.encode(), r)] for t in texts]
+    monkeypatch.setattr(tokens, "CHUNK", 40)
+    monkeypatch.setattr(tokens, "CACHE", 15)
     f = tokens.WordFolder()
-    for w in ("hello", " world", "断路器的环境湿度", "ééé", "123456", "transformer"):
-        assert tokens.fold(w.encode(), r) == f.ids(w) or len(f._words.findall(w)) > 1
+    assert f.batch(texts) == want and f.batch(texts) == want and f.batch([]) == []
 
 
 def test_containers(spark):
