@@ -183,6 +183,7 @@ QUERIES = {f.__name__: f for f in (
 _FIELDS = "f AS (SELECT user_id, event_type AS field, arg_max(props->>'$.k', (ts, event_id)) AS value FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2)"
 _ALLOWED = ", ".join(f"'{x}'" for x in FIELDS)
 _STRIP = r"regexp_replace({t}, '^[ \t\r\n\x{{3000}}]+|[ \t\r\n\x{{3000}}]+$', '', 'g')"
+_BLOCK_TEXT = r"regexp_replace(t, '(?m)^(?:document_title|chunk_id):.*(?:\n|\z)', '', 'g')"
 SQL = {
     "hit_projection": "SELECT DISTINCT coalesce(nullif(trim(CASE WHEN chunk_index % 7 <> 0 THEN chunk_id END), ''), 'store-' || chunk_index) AS chunk_id, coalesce(section_title, '') AS section_title FROM chunks WHERE coalesce(nullif(trim(CASE WHEN chunk_index % 7 <> 0 THEN chunk_id END), ''), 'store-' || chunk_index) IS NOT NULL",
     "hit_flatten": f"WITH {CHUNKS_SQL} SELECT title, chunk_id, chunk_index, chapter_title FROM d WHERE title IS NOT NULL AND chunk_index < 50",
@@ -202,7 +203,7 @@ SQL = {
     "parsed_blocks": rf"""WITH {SAMPLES_SQL}, x AS (SELECT sample_id, string_split("user", '【问题】') AS l FROM s WHERE contains("user", '【问题】')),
  h AS (SELECT sample_id, {_STRIP.format(t="replace(array_to_string(l[:len(l) - 1], '【问题】'), '【检索资料】', '')")} AS head FROM x WHERE {_STRIP.format(t='l[-1]')} <> ''),
  b AS (SELECT sample_id, head, list_filter(list_transform(string_split_regex(head, '(?:^|\n)\s*\[source_\d+\]\s*')[2:], lambda t: {{'d': trim(regexp_extract(t, '(?m)^document_title:[ \t]*(.*?)[ \t]*$', 1)), 'c': trim(regexp_extract(t, '(?m)^chunk_id:[ \t]*(.*?)[ \t]*$', 1)),
-   't': {_STRIP.format(t="regexp_replace(t, '(?m)^(?:document_title|chunk_id):.*(?:\n|\z)', '', 'g')")}}}), lambda z: z.t <> '') AS bl FROM h),
+   't': {_STRIP.format(t=_BLOCK_TEXT)}}}), lambda z: z.t <> '') AS bl FROM h),
  w AS (SELECT sample_id, CASE WHEN len(bl) = 0 AND head <> '' THEN [{{'d': '', 'c': '', 't': head}}] ELSE bl END AS bl FROM b)
  SELECT sample_id, i - 1 AS pos, z.d AS document_title, z.c AS chunk_id, md5(z.t) AS digest FROM (SELECT sample_id, unnest(bl) AS z, generate_subscripts(bl, 1) AS i FROM w)""",
     "quality_records": f"""WITH {AN_SQL}, o AS (SELECT request_id, {REL_SQL} AS relevance, {COVERAGE_SQL[0]} AS required, {COVERAGE_SQL[1]} AS covered, {COVERAGE_SQL[2]} AS coverage, {FORM_SQL} AS form, length(coalesce(answer, '')) AS chars, {HAN_SQL} AS han,
