@@ -265,6 +265,27 @@ def test_frequent_seeds_and_numbering(spark):
     assert len(want) > 100 and want <= got
 
 
+def test_chains_in_any_order():
+    a = "变压器油温升高时应当先检查冷却回路，再核对油位计读数，最后取油样做色谱分析，并把全部结果记入运行台账"
+    b = a[24:] + a[:24]  # two parts that have changed places
+    x, y = overlap.Fingerprint(a), overlap.Fingerprint(b)
+    assert overlap.chained(x, x) >= 0.8 * x.length and overlap.chained(x, y) >= 0.5 * x.length
+    slip = a.replace("核对", "仔细核对").replace("色谱", "气相色谱")
+    assert overlap.chained(x, overlap.Fingerprint(slip)) >= 0.5 * x.length
+    assert overlap.chained(x, overlap.Fingerprint("完全无关的另外一段文字")) == 0 and overlap.chained(x, overlap.Fingerprint("")) == 0
+    assert overlap.is_chained(a, a, b, slip) and not overlap.is_chained(a, a, "别的问题是什么", "别的回答没有相同之处")
+
+
+def test_seeds_of_many_texts_at_once():
+    import random
+
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("变压器油温abc0") for _ in range(n))
+    rows = [(text(rng.choice([0, 1, 3, 9, 10, 11, 40, 300])), text(rng.choice([1, 5, 12, 200]))) for _ in range(200)]
+    assert [x.tolist() for x in overlap.seeds_of(rows)] == [sorted({h ^ 17 for h in overlap.minima(q)} | set(overlap.minima(a))) for q, a in rows]
+    assert overlap.seeds_of([]) == []
+
+
 def test_winnowing_guarantee():
     text = "".join(random.Random(1).choices("甲乙丙丁戊己庚辛壬癸子丑寅卯", k=300))
     shared = text[100 : 100 + overlap.WINDOW + overlap.GRAM - 1]

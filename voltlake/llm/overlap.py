@@ -43,8 +43,12 @@ SIMPLIFIED = "电时应为变与压验间发关对试现线检备录断记装测
 _SIMPLER = str.maketrans(TRADITIONAL, SIMPLIFIED)
 
 
+_ANY_TRADITIONAL, _NO_LETTERS, _LETTER = re.compile(f"[{TRADITIONAL}]"), re.compile(r"[\W_]+"), re.compile(r"[^\W_]")
+
+
 def folded(text: str) -> str:
-    return re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", text).lower().translate(_SIMPLER))
+    text = unicodedata.normalize("NFKC", text).lower()
+    return _NO_LETTERS.sub("", text.translate(_SIMPLER) if _ANY_TRADITIONAL.search(text) else text)
 
 
 def _selected(text: str, gram: int, window: int):
@@ -72,11 +76,53 @@ def minima(text: str, gram: int = GRAM, window: int = WINDOW) -> list[int]:
     return _selected(text, gram, window)[0].tolist()
 
 
+def selected_of(texts: list[str], gram: int = GRAM, window: int = WINDOW):
+    """(hashes, text numbers) of the minima of all texts, as _selected() gives them one by one; texts too short for a whole window go that way."""
+    import numpy as np
+
+    long = [i for i, t in enumerate(texts) if len(t) >= gram + window - 1]
+    short = [(i, _selected(t, gram, window)[0]) for i, t in enumerate(texts) if len(t) < gram + window - 1]
+    a = np.frombuffer("".join(texts[i] for i in long).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    hashes, of = [h for _, h in short], [np.full(len(h), i) for i, h in short]
+    if len(a):
+        h = np.zeros(len(a) - gram + 1, np.uint64)
+        for k in range(gram):
+            h = h * np.uint64(0x100000001B3) + a[k : k + len(h)] * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        number = np.repeat(np.array(long), [len(texts[i]) for i in long])
+        n = len(h) - window + 1  # windows; those that reach into the next text don't count
+        best, at = h[:n].copy(), np.arange(n)
+        for k in range(1, window):
+            better = h[k : k + n] <= best
+            best[better] = h[k : k + n][better]
+            at[better] = np.flatnonzero(better) + k
+        whole = number[:n] == number[window + gram - 2 : window + gram - 2 + n]
+        chosen = np.zeros(n + window, bool)
+        chosen[at[whole]] = True
+        at = np.flatnonzero(chosen)
+        hashes.append(h[at].astype(np.int64))
+        of.append(number[at])
+    return (np.concatenate(hashes), np.concatenate(of)) if hashes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def seeds(question: str, answer: str):
     """Seeds of both texts, each once."""
+    return seeds_of([(question, answer)])[0]
+
+
+def seeds_of(records_: list[tuple[str, str]]) -> list:
+    """Seeds of each record's question and answer, each once."""
     import numpy as np
 
-    return np.unique(np.concatenate([_selected(text, GRAM, WINDOW)[0] ^ np.int64(salt) for salt, text in ((17, question), (0, answer))]))
+    parts = [selected_of([r[k] for r in records_]) for k in (0, 1)]
+    h, of = np.concatenate([parts[0][0] ^ np.int64(17), parts[1][0]]), np.concatenate([parts[0][1], parts[1][1]])
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    first = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])] if len(h) else np.zeros(0, bool)
+    h, of = h[first], of[first]
+    return np.split(h, np.searchsorted(of, np.arange(1, len(records_)))) if records_ else []
 
 
 class Fingerprint:
@@ -143,7 +189,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = [i for i, x in enumerate(texts) if x[0] and x[1]]
         texts = [texts[i] for i in keep]
         classes = [hashlib.md5("\0".join(x[:3]).encode()).digest() for x in texts]
-        found = [seeds(x[0], x[1]) for x in texts]
+        found = seeds_of([x[:2] for x in texts])
         offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32))
         flat = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
         marks = pa.array([[_key(x) for x in figure_keys(t[3])] for t in texts], pa.list_(pa.int64()))
@@ -162,7 +208,7 @@ def sentences(text: str) -> list[str]:
     mark = r"^\s*(?:[-*+•>#]+|\(?\d{1,2}[.、)])\s*(?=\D)"
     text = re.sub("(?m)" + mark, "", unicodedata.normalize("NFKC", text))  # before the split, which would part a number from its line at the full stop
     out = [re.sub(mark, "", s).strip() for s in re.split(r"[。！!?？;；\n\r]+|\.(?=\s|$|[一-鿿])", text)]
-    return [s for s in out if folded(s)]
+    return [s for s in out if _LETTER.search(s)]
 
 
 _FIGURE = re.compile(r"\d+(?:[.,]\d+)*")
@@ -265,16 +311,17 @@ def _fingerprint(text: str) -> Fingerprint:
     return Fingerprint(text)
 
 
-def chain_cover(qa: str, aa: str, qb: str, ab: str) -> float:
-    """The lesser share of the two records (question and answer) that lies under chains of shared seeds."""
+def is_chained(qa: str, aa: str, qb: str, ab: str, least: float = CHAINED) -> bool:
+    """Whether chains of shared seeds cover that share of both records (question and answer)."""
     pairs = [(_fingerprint(qa), _fingerprint(qb)), (_fingerprint(aa), _fingerprint(ab))]
-    to, back = sum(chained(x, y) for x, y in pairs), sum(chained(y, x) for x, y in pairs)
-    return min(to / max(1, sum(x.length for x, _ in pairs)), back / max(1, sum(y.length for _, y in pairs)))
+    if sum(chained(x, y) for x, y in pairs) < least * sum(x.length for x, _ in pairs):
+        return False
+    return sum(chained(y, x) for x, y in pairs) >= least * sum(y.length for _, y in pairs)
 
 
 def _extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        near = [chain_cover(*x) >= CHAINED for x in zip(pdf.q_a, pdf.a_a, pdf.q_b, pdf.a_b)]
+        near = [is_chained(*x) for x in zip(pdf.q_a, pdf.a_a, pdf.q_b, pdf.a_b)]
         pdf = pdf[near]
         found = [same_record(*x) for x in zip(pdf.q_a, pdf.a_a, pdf.q_b, pdf.a_b)]
         pdf = pdf.assign(cover_q=[x[0] for x in found], cover_a=[x[1] for x in found])
