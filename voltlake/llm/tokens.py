@@ -7,7 +7,7 @@ are. What stands here keeps the method's parts and changes where they run: each
 each distinct word of a task is folded once by ranked merges over its bytes, with the rank map read from the vocabulary file,
 and texts are put together from their words' ids, in Arrow batches. All new words of a batch are folded at once, over arrays (Merges): in each round every word
 joins its pair of least rank, wherever it stands in the word, until no pair has a rank. fold() states the same merges plainly, for one word, and serves to
-test it. Nothing is shuffled; the memory of a task is bounded by CACHE words and CHUNK bytes at work.
+test it. Nothing is shuffled; the memory of a task is bounded by CACHE words and CHUNK characters at work.
 
 decode() concatenates the pieces' bytes and reads them as UTF-8.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("VOLTLAKE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the word pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE, CHUNK, KEPT = 200_000, 400_000, 64  # words kept, bytes folded at once, characters of a word that is kept
+CACHE, CHUNK, KEPT = 200_000, 200_000, 64  # words kept, characters of words folded at once, characters of a word that is kept
 
 
 def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -125,9 +126,11 @@ class Merges:
             keep[at + 1] = False
             at = (np.cumsum(keep) - 1)[at]
             tok, word, rank = tok[keep], word[keep], rank[keep]
-            new = np.unique(np.r_[at, at[at > 0] - 1])
-            rank[new] = self.NONE
-            new = new[new + 1 < len(tok)]
+            fresh = np.zeros(len(tok), bool)
+            fresh[at] = True
+            fresh[at[at > 0] - 1] = True
+            rank[fresh] = self.NONE
+            new = np.flatnonzero(fresh[:-1])
             new = new[word[new] == word[new + 1]]
             rank[new] = self.rank(tok[new], tok[new + 1])
         tok, word = np.concatenate(done_tok), np.concatenate(done_word)
@@ -149,36 +152,34 @@ class WordFolder:
         return self.batch([text])[0]
 
     def batch(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text. Texts are taken up to about CHUNK new bytes at a time."""
-        out: list[list[int]] = []
-        parts: list[list[str]] = []
-        new: dict[str, bytes] = {}
+        """Ids of each text. Texts are taken up to about CHUNK characters of new words at a time."""
+        known, out = self._known, []
+        parts: list[list[list[int]]] = []  # of each text the lists of its words' ids; those of new words are filled later
+        new: dict[str, list[int]] = {}
         size = 0
         for t in texts:
-            words = self._words.findall(t) if t else []
-            parts.append(words)
-            for w in words:
-                if w not in self._known and w not in new:
-                    new[w] = w.encode("utf-8", "surrogatepass")
-                    size += len(new[w])
+            part = []
+            for w in self._words.findall(t) if t else ():
+                x = known.get(w)
+                if x is None:
+                    x = known[w] = new[w] = []
+                    size += len(w)
+                part.append(x)
+            parts.append(part)
             if size > CHUNK:
                 out += self._flush(parts, new)
                 parts, new, size = [], {}, 0
         return out + self._flush(parts, new)
 
-    def _flush(self, parts: list[list[str]], new: dict[str, bytes]) -> list[list[int]]:
-        ids = dict(zip(new, self._merges.fold(list(new.values()))))
-        known, out = self._known, []
-        for words in parts:
-            one: list[int] = []
-            for w in words:
-                x = known.get(w)
-                one += ids[w] if x is None else x
-            out.append(one)
-        if len(known) + len(ids) > CACHE:
-            known.clear()
-        known.update((w, x) for w, x in ids.items() if len(w) <= KEPT)
-        return out
+    def _flush(self, parts: list[list[list[int]]], new: dict[str, list[int]]) -> list[list[int]]:
+        for x, ids in zip(new.values(), self._merges.fold([w.encode("utf-8", "surrogatepass") for w in new])):
+            x += ids
+        if len(self._known) > CACHE:
+            self._known.clear()
+        else:
+            for w in [w for w in new if len(w) > KEPT]:
+                del self._known[w]
+        return [list(chain.from_iterable(part)) for part in parts]
 
 
 def encoded(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
