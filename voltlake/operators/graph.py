@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltlake.functions.text import stripped
+
 MOST = 10
 
 
@@ -63,7 +65,7 @@ def evidence(trail_nodes: Column) -> Column:
 
 def entities(names: Column) -> Column:
     """Trimmed, non-blank, each once, in order; null for fewer than two."""
-    out = F.array_distinct(F.filter(F.transform(names, F.trim), lambda s: s.isNotNull() & (s != "")))
+    out = F.array_distinct(F.filter(F.transform(names, stripped), lambda s: s.isNotNull() & (s != "")))
     return F.when(F.size(out) >= 2, out)
 
 

@@ -183,9 +183,12 @@ def _before(rows: DataFrame, end: Column) -> DataFrame:
 def content_lines(lines: DataFrame, titles: DataFrame | None = None, watermarks: list[str] | None = None) -> DataFrame:
     """The lines of the content with body, level and title: contents list, cover, last pages, front matter notes and dates, publication data, sections left out, exercises,
     noise, and all from the appendix or a terminal section on are gone. titles: configured titles (doc_id, title)."""
-    sizes = body_size(lines)
-    marked = with_noise(lines, sizes, watermarks)
-    contents = contents_pages(lines)
+    from voltlake.session import cut
+
+    lines = cut(lines)  # read for sizes, contents, covers and repeated lines
+    sizes = cut(body_size(lines))
+    marked = cut(with_noise(lines, sizes, watermarks))  # read for last pages, titles and the content
+    contents = cut(contents_pages(lines))
     detected = title_lines(marked, contents)
     gone = contents.unionByName(cover_pages(lines, sizes)).unionByName(trailing_pages(marked)).distinct()
     x = marked.join(gone, ["doc_id", "page"], "left_anti").withColumn("level", line_level())
@@ -195,7 +198,7 @@ def content_lines(lines: DataFrame, titles: DataFrame | None = None, watermarks:
     front = (F.col("page") <= 3) & (t.rlike(NOTE) | t.rlike(DATE_LABEL) | (t.rlike(DATE_VALUE) & F.coalesce(before.rlike(DATE_LABEL), F.lit(False))))
     x = x.withColumn("_front", front).filter("not _front").drop("_front")
     x = _before(x, t.rlike(APPENDIX) & (F.col("size") >= F.col("body") * 1.15) & ~t.rlike(LEADERS))
-    names = x.select("doc_id").distinct().join(detected.select("doc_id", F.col("title").alias("seen"), F.col("page").alias("_p"), F.col("pos").alias("_i")), "doc_id", "left")
+    names = lines.select("doc_id").distinct().join(detected.select("doc_id", F.col("title").alias("seen"), F.col("page").alias("_p"), F.col("pos").alias("_i")), "doc_id", "left")
     names = names.join(titles.select("doc_id", F.col("title").alias("set")), "doc_id", "left") if titles is not None else names.withColumn("set", F.lit(None).cast("string"))
     title = reconciled_title(F.col("seen"), F.col("set"))
     names = names.select("doc_id", title.alias("title"), *[F.when(F.coalesce(title == F.col("seen"), F.lit(False)), F.col(c)).alias(c) for c in ("_p", "_i")])

@@ -27,7 +27,7 @@ def identifier(name: str) -> str:
 
 def projected_hits(hits: DataFrame, key: str, store_id: str, defaults: dict[str, str]) -> DataFrame:
     """key and the fields of defaults: a missing key falls back to the store's id, missing fields to their default; rows without either id are dropped."""
-    one = F.coalesce(F.nullif(F.trim(F.col(key)), F.lit("")), F.nullif(F.trim(F.col(store_id)), F.lit("")))
+    one = F.coalesce(F.nullif(stripped(F.col(key)), F.lit("")), F.nullif(stripped(F.col(store_id)), F.lit("")))
     return hits.select(one.alias(key), *[F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()]).filter(F.col(key).isNotNull())
 
 

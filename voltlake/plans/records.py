@@ -19,8 +19,8 @@ FIELDS = ["click", "view", "purchase"]
 
 def hit_projection(spark, d):
     """FLT-4"""
-    h = table(spark, d, "chunks").select(F.when(F.col("chunk_index") % 7 != 0, F.col("chunk_id")).alias("chunk_id"), F.concat(F.lit("store-"), "chunk_index").alias("_id"), "section_title").distinct()
-    return R.projected_hits(h, "chunk_id", "_id", {"section_title": ""})
+    h = table(spark, d, "chunks").select(F.when(F.col("chunk_index") % 7 != 0, F.col("chunk_id")).alias("chunk_id"), F.concat(F.lit("store-"), "chunk_index").alias("_id"), "section_title")
+    return R.projected_hits(h, "chunk_id", "_id", {"section_title": ""}).distinct()
 
 
 def hit_flatten(spark, d):
@@ -185,7 +185,7 @@ _ALLOWED = ", ".join(f"'{x}'" for x in FIELDS)
 _STRIP = r"regexp_replace({t}, '^[ \t\r\n\x{{3000}}]+|[ \t\r\n\x{{3000}}]+$', '', 'g')"
 _BLOCK_TEXT = r"regexp_replace(t, '(?m)^(?:document_title|chunk_id):.*(?:\n|\z)', '', 'g')"
 SQL = {
-    "hit_projection": "SELECT DISTINCT coalesce(nullif(trim(CASE WHEN chunk_index % 7 <> 0 THEN chunk_id END), ''), 'store-' || chunk_index) AS chunk_id, coalesce(section_title, '') AS section_title FROM chunks WHERE coalesce(nullif(trim(CASE WHEN chunk_index % 7 <> 0 THEN chunk_id END), ''), 'store-' || chunk_index) IS NOT NULL",
+    "hit_projection": f"WITH x AS (SELECT coalesce(nullif({_STRIP.format(t='CASE WHEN chunk_index % 7 <> 0 THEN chunk_id END')}, ''), 'store-' || chunk_index) AS chunk_id, coalesce(section_title, '') AS section_title FROM chunks) SELECT DISTINCT * FROM x WHERE chunk_id IS NOT NULL",
     "hit_flatten": f"WITH {CHUNKS_SQL} SELECT title, chunk_id, chunk_index, chapter_title FROM d WHERE title IS NOT NULL AND chunk_index < 50",
     "profile_illegal": f"WITH {_FIELDS} SELECT user_id, string_agg(field, ',' ORDER BY field) AS illegal FROM f WHERE field NOT IN ({_ALLOWED}) GROUP BY 1",
     "profile_allowed": f"WITH {_FIELDS} SELECT user_id, coalesce(string_agg(field || '=' || value, ',' ORDER BY field) FILTER (field IN ({_ALLOWED}) AND trim(coalesce(value, '')) <> ''), '') AS profile FROM f GROUP BY 1",
@@ -210,7 +210,7 @@ SQL = {
    len(list_filter(list_transform(string_split_regex(coalesce(answer, ''), '[。！？!?；;\\n]+'), lambda s: regexp_replace(s, '^[ \\t\\r\\n\\x{{3000}}]+|[ \\t\\r\\n\\x{{3000}}]+$', '', 'g')), lambda s: s <> '')) AS sentences, {SIGNALS_SQL} AS signals FROM an),
  z AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN coverage IS NULL THEN 0.65::DOUBLE * relevance + 0.35::DOUBLE * form ELSE 0.35::DOUBLE * relevance + 0.45::DOUBLE * coverage + 0.20::DOUBLE * form END)), 6) AS score FROM o)
  SELECT *, CASE WHEN score >= 0.85::DOUBLE THEN 'excellent' WHEN score >= 0.70::DOUBLE THEN 'good' WHEN score >= 0.55::DOUBLE THEN 'needs_improvement' ELSE 'poor' END AS level FROM z""",
-    "entity_lists": "WITH r AS (SELECT DISTINCT request_id, used_sources FROM training_sample), x AS (SELECT row_number() OVER () AS k, request_id, used_sources AS l FROM r), u AS (SELECT k, request_id, trim(unnest(l)) AS s, generate_subscripts(l, 1) AS i FROM x), f AS (SELECT k, request_id, s, min(i) AS i FROM u WHERE s <> '' GROUP BY 1, 2, 3) SELECT request_id, string_agg(s, '|' ORDER BY i) AS entities FROM f GROUP BY k, request_id HAVING count(*) >= 2",
+    "entity_lists": f"WITH r AS (SELECT DISTINCT request_id, used_sources FROM training_sample), x AS (SELECT row_number() OVER () AS k, request_id, used_sources AS l FROM r), u AS (SELECT k, request_id, {_STRIP.format(t='unnest(l)')} AS s, generate_subscripts(l, 1) AS i FROM x), f AS (SELECT k, request_id, s, min(i) AS i FROM u WHERE s <> '' GROUP BY 1, 2, 3) SELECT request_id, string_agg(s, '|' ORDER BY i) AS entities FROM f GROUP BY k, request_id HAVING count(*) >= 2",
     "zone_times": f"WITH {CHATS_SQL} SELECT chat_id, epoch_ms(create_time) - 28800000 AS millis FROM c WHERE create_time IS NOT NULL",
     "routed_paths": """WITH s AS (SELECT s_suppkey, n_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0)
  SELECT s_suppkey AS request_id, 1 AS trails, 'r' || n_regionkey || '>n' || n_nationkey || '>s' || s_suppkey AS first FROM s""",
