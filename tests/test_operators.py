@@ -128,6 +128,17 @@ def test_search_against_every_document(spark, share, group, sent):
     assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-5 for x in want)
 
 
+def test_packs_of_requests_rank_in_their_task(spark):
+    docs = spark.createDataFrame([(f"d{i:02d}", f"a {'b ' * (i % 7)}", f"t{i % 3}") for i in range(60)], "k string, x string, title string").repartition(5)
+    asked = spark.createDataFrame([(i, "a b") for i in range(30)], "request_id long, text string")
+    channels = {"x": lexical.Channel({"x": 1.0}), "y": lexical.Channel({"x": 2.0})}
+    far, near = (lexical.search(asked, docs, "k", channels, 4, sent=n, carry=("title", "y")) for n in (0, 10**6))
+    assert "Window" not in far._jdf.queryExecution().executedPlan().toString()  # no task passes on hits that another one would rank
+    rows = lambda df: sorted(map(str, df.select("request_id", "channel", "k", "score", "rank", "title").collect()))
+    assert rows(far) == rows(near) and len(rows(far)) == 240
+    assert all((r.title is None) == (r.channel == "x") for r in far.collect())
+
+
 def test_pair_scores_are_those_of_the_search(spark):
     docs = spark.createDataFrame([("d1", "a b b", None), ("d2", "a c", "b"), ("d3", None, "a b")], "k string, x string, y string")
     req = spark.createDataFrame([(1, "B a"), (2, "c")], "request_id long, text string")
