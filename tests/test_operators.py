@@ -139,6 +139,31 @@ def test_packs_of_requests_rank_in_their_task(spark):
     assert all((r.title is None) == (r.channel == "x") for r in far.collect())
 
 
+def test_pruned_scores_are_the_full_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (30, 3000):  # few documents are added, many looked up
+        has = [np.flatnonzero(rng.random(n) < p) for p in (0.01, 0.1, 0.5, 0.9)]
+        tf = np.concatenate([rng.integers(1, 5, len(x)) for x in has])
+        lists = lexical._lists(np.repeat(np.arange(4), list(map(len, has))), np.concatenate(has), tf, rng.integers(5, 50, n).astype(float), 4, 20.0)
+        terms = [[i, idf, 1.0, 0.0] for i, idf in enumerate((5.0, 2.0, 0.6, 0.1))]
+        full = lexical._field_scores(lists, terms, lexical.Channel({"x": 1.0}), 0, n, 0.0, 4)
+        for least in np.sort(full)[[-20, -5]]:
+            some = lexical._field_scores(lists, terms, lexical.Channel({"x": 1.0}), 0, n, least - 1e-6, 4)
+            assert np.allclose(some[full >= least], full[full >= least])
+
+
+def test_known_tokens_score_as_texts(spark):
+    from voltlake.functions.text import tokens
+
+    rows = [(1, 1, "变压器 abc", "k1", "变压 ABC abc 器"), (1, 2, "油温", "k2", " \u3000\n"), (1, 3, "油温", "k3", None), (2, 1, "ab", "k4", "abc")]
+    df = spark.createDataFrame(rows, "request_id long, sub_no int, sub_query string, k string, body string")
+    known = df.filter(fusion.stripped(F.col("body")) != "").withColumn("body", F.array_distinct(tokens(F.col("body"))))
+    rows_of = lambda x: sorted((r.k, r.sub_no, r.score) for r in x.collect())
+    assert rows_of(fusion.rerank(known, "k", fusion.held)) == rows_of(fusion.rerank(df, "k")) == [("k1", 1, 1.0)]
+
+
 def test_pair_scores_are_those_of_the_search(spark):
     docs = spark.createDataFrame([("d1", "a b b", None), ("d2", "a c", "b"), ("d3", None, "a b")], "k string, x string, y string")
     req = spark.createDataFrame([(1, "B a"), (2, "c")], "request_id long, text string")
