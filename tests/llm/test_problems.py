@@ -1,6 +1,7 @@
 """Training-data operators on small fixtures, against brute force and exact round trips."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -265,6 +266,15 @@ def test_frequent_seeds_and_numbering(spark):
     assert len(want) > 100 and want <= got
 
 
+def test_seeds_of_all_records_are_not_broadcast(spark, tmp_path):
+    """Of a table from files Spark takes the seeds as small as the files; from about 60 MB on they overran the driver."""
+    rows = [sample("a", "train", "主变油温升至98 ℃，如何判断？", ANSWER), sample("b", "test", "主变油温升至98 ℃，如何判断？", ANSWER.replace("。", ". "))]
+    spark.createDataFrame(rows, SAMPLES).write.parquet(str(tmp_path / "samples"))
+    found, _ = overlap.class_overlaps(spark.read.parquet(str(tmp_path / "samples")))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"SortMergeJoin \[key#\d+L?\]", plan) and not re.search(r"BroadcastHashJoin \[key#\d+L?\]", plan)
+
+
 def test_chains_in_any_order():
     a = "变压器油温升高时应当先检查冷却回路，再核对油位计读数，最后取油样做色谱分析，并把全部结果记入运行台账"
     b = a[24:] + a[:24]  # two parts that have changed places
