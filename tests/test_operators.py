@@ -374,3 +374,29 @@ def test_eight_rewards(spark):
     assert got["copy"].ground == -1.0 and got["short"].ground == 0.0 and got["none"].ground == 0.0 and 0 < got["own"].ground < 1
     assert got["question"].query == q and got["question"].copy == -1.0 and got["question"]["all"] < got["question"].six
     assert got["copy"]["all"] == pytest.approx(got["copy"].six - 1, abs=1e-6)
+
+
+def test_index_of_gathered_postings_takes_little_memory():
+    """A task that meets a pack holds one index at a time; at its greatest it takes some 20 bytes a posting (it took over 70)."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [[words[i] for i in rng.integers(0, 3000, 300)] for _ in range(1500)] + [["w1"] * 300, [], ["other"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(len(rows))]), pa.array([""] * len(rows)), pa.array(rows, pa.list_(pa.string()))], names=["key", "grp", "t0"])
+    terms = lexical.Terms([1], [""], [1], [0, 1], None, None, None, None, None, words)
+    blobs = [lexical._compact(batch.slice(i, 501).take(pa.array(range(min(501, len(rows) - i)))), ["t0"], False) for i in range(0, len(rows), 501)]
+    tracemalloc.start()
+    index = lexical._gathered(blobs, terms, ["t0"], {"t0": 300.0}, False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    doc, w, starts, top, n = index.lists[0]
+    assert most < 35 * len(doc) and n == len(rows)
+    plain = lexical._indexed(batch, terms, ["t0"], {"t0": 300.0}, False)
+    assert (index.keys == plain.keys).all() and (doc == plain.lists[0][0]).all() and (w == plain.lists[0][1]).all() and (starts, top) == plain.lists[0][2:4]
+    at = {t: i for i, t in enumerate(words)}["w1"]
+    here = {index.keys[d]: x for d, x in zip(doc[starts[at] : starts[at + 1]], w[starts[at] : starts[at + 1]])}
+    assert here["d1500"] == pytest.approx(300 * 2.2 / (300 + 1.2)) and "d1501" not in here
